@@ -15,18 +15,16 @@ from stratum.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the learned decision list reject."""
-    from stratum.llm.quality_rules import apply_rules, labelled_statistics, learn
+    from stratum.llm.quality_rules import keep_documents, labelled_statistics, learn
 
-    rules = learn(labelled_statistics(docs, table(spark, sf_dir, "labels")))
-    return apply_rules(docs, rules, keep=docs.columns).where("kept").select(*docs.columns)
+    return keep_documents(docs, learn(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier marks as toxic."""
-    from stratum.llm.toxicity import fit, score
+    from stratum.llm.toxicity import fit, keep_documents
 
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return keep_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

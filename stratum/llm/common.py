@@ -105,3 +105,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def grouped(batches, names: list[str]):
+    """(values of names, table) of each run of equal long columns names in a stream of Arrow batches."""
+    import pyarrow as pa
+
+    held, now = [], None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        keys = np.column_stack([x.column(x.schema.get_field_index(n)).to_numpy() for n in names]).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(keys[s]) != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = tuple(keys[s].tolist())
+            held.append(x.slice(s, e - s))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def bound(df: DataFrame, name: str, value) -> DataFrame:
+    """df with a column whose expression is evaluated once for each row.
+
+    A plain column may be copied into every filter and lambda that uses it, which repeats its work for each element;
+    nothing is pushed through the generator that gives this one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import licenses
+from .common import crc_fold, table, written
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,47 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_kernel import document_statistics, fit, score, training_rows
+
+    stats = written(document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    rows = written(training_rows(stats, table(spark, sf_dir, "labels")), "labelled")
+    out = score(stats, fit(rows), ["doc_id"])
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
@@ -33,6 +75,16 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import decide, learn, statistics
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(statistics(docs, "text").drop("text"), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("label is not null")
+    rules = learn(written(stats.join(labels, "doc_id"), "labelled"))
+    return decide(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 SQL = {}
 
 SQL["op3_warc"] = """
@@ -44,7 +96,29 @@ SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-_QUERIES = [op3_warc, op5_token_ids, op10_byte_bpe]
+_BETWEEN, _UPPER, _LOWER = licenses.BETWEEN, licenses.UPPER, licenses.LOWER
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+
+#: Every document against every template, by their shingles.
+SQL["op8_license_scan"] = f"""
+WITH t(license, text) AS (VALUES {_NOTICES}),
+     words AS (
+         SELECT doc_id, NULL AS license, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_BETWEEN}'), lambda x: x <> '') AS w FROM documents
+         UNION ALL
+         SELECT NULL, license, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '{_BETWEEN}'), lambda x: x <> '') FROM t),
+     shingles AS (
+         SELECT doc_id, license, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s,
+                unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS at
+         FROM words),
+     notices AS (SELECT DISTINCT license, s FROM shingles WHERE license IS NOT NULL),
+     sizes AS (SELECT license, count(*) AS n FROM notices GROUP BY license),
+     hits AS (SELECT d.doc_id, n.license, count(DISTINCT d.s) AS n_found, min(d.at) AS at_word
+              FROM shingles d JOIN notices n ON d.s = n.s WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id, n.license)
+SELECT doc_id, license, n AS n_shingles, n_found, n_found / n AS containment, at_word
+FROM hits JOIN sizes USING (license) WHERE 100 * n_found >= 80 * n
+"""
+
+_QUERIES = [op1_embedding_near_dedup, op2_toxicity, op3_warc, op4_quality_kernel, op5_token_ids, op6_quality_rules, op7_mixing, op8_license_scan, op9_minhash, op10_byte_bpe]
 
 
 def queries() -> dict:
