@@ -51,10 +51,12 @@ def money(c):
 
 
 def mean(c):
-    return F.round(F.avg(c), 4)
+    return F.round(F.avg(c), 6)
 
 
-n = F.count("*")
+def rows():
+    return F.count("*")
+
 
 
 def regional(spark, d):
@@ -108,15 +110,15 @@ def temporal_compare(spark, d):
     return T.compare(order_versions(spark, d), VALID, "o_custkey", POINT, LATER, ["o_orderkey", "amount"])
 
 
-@query(f"WITH {VERSIONS} SELECT count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 4) AS mean FROM v WHERE {AT}")
+@query(f"WITH {VERSIONS} SELECT count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean FROM v WHERE {AT}")
 def temporal_agg(spark, d):
-    return year_sharded(spark, d).valid_at(POINT).df().agg(n.alias("n"), money("amount").alias("total"), mean("amount").alias("mean"))
+    return year_sharded(spark, d).valid_at(POINT).df().agg(rows().alias("n"), money("amount").alias("total"), mean("amount").alias("mean"))
 
 
-@query(f"WITH {VERSIONS} SELECT c_mktsegment, count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 4) AS mean FROM v JOIN customer ON o_custkey = c_custkey WHERE {AT} GROUP BY c_mktsegment ORDER BY c_mktsegment")
+@query(f"WITH {VERSIONS} SELECT c_mktsegment, count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean FROM v JOIN customer ON o_custkey = c_custkey WHERE {AT} GROUP BY c_mktsegment ORDER BY c_mktsegment")
 def temporal_join_segments(spark, d):
     v = T.valid_at(order_versions(spark, d), VALID, POINT)
-    return v.join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(n.alias("n"), money("amount").alias("total"), mean("amount").alias("mean")).orderBy("c_mktsegment")
+    return v.join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(rows().alias("n"), money("amount").alias("total"), mean("amount").alias("mean")).orderBy("c_mktsegment")
 
 
 SUPPLY = """s AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate AS valid_from, lead(l_shipdate) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS valid_to FROM lineitem)"""
@@ -131,7 +133,7 @@ def supply_versions(spark, d):
 SELECT o_custkey, o_orderkey, amount, lines, quantity FROM v JOIN l ON o_orderkey = l_orderkey WHERE {AT}""")
 def temporal_join(spark, d):
     lines = load(spark, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
-    shipped = T.valid_at(lines, TemporalSpec("l_shipdate"), POINT).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n.alias("lines"), money("l_quantity").alias("quantity"))
+    shipped = T.valid_at(lines, TemporalSpec("l_shipdate"), POINT).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows().alias("lines"), money("l_quantity").alias("quantity"))
     return T.temporal_join(order_versions(spark, d), VALID, shipped, None, "o_orderkey", POINT).select("o_custkey", "o_orderkey", "amount", "lines", "quantity")
 
 
@@ -254,8 +256,8 @@ def shard_maxrows(spark, d):
 @query(f"WITH {CUSTOMERS} SELECT c_custkey, c_mktsegment, region FROM cr WHERE region = 'ASIA' AND c_custkey = 33")
 def shard_composite(spark, d):
     s = Composite((ByValue("region", shard_column="s_region"), ByHash("c_custkey", 4, shard_column="s_hash")))
-    rows = regional(spark, d).select("c_custkey", "c_mktsegment", "region")
-    return sharded(spark, d, "customer_composite", rows, s).where_eq(region="ASIA", c_custkey=33).df()
+    c = regional(spark, d).select("c_custkey", "c_mktsegment", "region")
+    return sharded(spark, d, "customer_composite", c, s).where_eq(region="ASIA", c_custkey=33).df()
 
 
 @query("SELECT o_orderkey, o_orderstatus, 'open' AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_orderstatus, 'done' FROM orders WHERE o_orderstatus = 'F'")
@@ -273,7 +275,7 @@ def shard_manual(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id % 8 = 3 GROUP BY user_id")
 def shard_hint(spark, d):
-    return events_by_hash(spark, d).shard_hint("3").df().groupBy("user_id").agg(n.alias("n"))
+    return events_by_hash(spark, d).shard_hint("3").df().groupBy("user_id").agg(rows().alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('s2024', 'hot', 1), ('s2023', 'warm', 2), ('s2022', 'archive', 3)) t(shard_id, tier, priority) WHERE tier <> 'archive'")
@@ -294,24 +296,24 @@ def shard_distribution(spark, d):
 
 @query("SELECT (('0x' || substr(md5(c_name), 1, 8))::BIGINT % 6)::INTEGER AS bucket, count(*) AS n FROM customer GROUP BY 1")
 def shard_hash_text(spark, d):
-    return load(spark, d, "customer").groupBy(hash_bucket(F.col("c_name"), 6).alias("bucket")).agg(n.alias("n"))
+    return load(spark, d, "customer").groupBy(hash_bucket(F.col("c_name"), 6).alias("bucket")).agg(rows().alias("n"))
 
 
 @query(None)
 def shard_ring(spark, d):
     """Customers by node of a consistent-hash ring; tests hold it against the ring in Python."""
     c = load(spark, d, "customer")
-    return c.groupBy(Ring("c_name", ("n1", "n2", "n3")).shard(c.schema).alias("node")).agg(n.alias("n"))
+    return c.groupBy(Ring("c_name", ("n1", "n2", "n3")).shard(c.schema).alias("node")).agg(rows().alias("n"))
 
 
 @query("SELECT count(*) AS n FROM events")
 def fanout_count(spark, d):
-    return events_by_hash(spark, d).df().agg(n.alias("n"))
+    return events_by_hash(spark, d).df().agg(rows().alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def fanout_groupby(spark, d):
-    return events_by_hash(spark, d).df().groupBy("event_type").agg(n.alias("n"), money("value").alias("total"))
+    return events_by_hash(spark, d).df().groupBy("event_type").agg(rows().alias("n"), money("value").alias("total"))
 
 
 # ---- filters, order, pages
@@ -404,7 +406,7 @@ def three_way_join(spark, d):
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
 def join_agg(spark, d):
-    return load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(n.alias("n"), money("o_totalprice").alias("total"))
+    return load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(rows().alias("n"), money("o_totalprice").alias("total"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -450,27 +452,27 @@ def last_ten_activities(spark, d):
 @query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, count(*) FILTER (l_returnflag = 'R') AS returned, round(coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 0), 2) AS returned_total FROM lineitem")
 def conditional_agg(spark, d):
     r = F.col("l_returnflag") == "R"
-    return load(spark, d, "lineitem").agg(n.alias("n"), money("l_extendedprice").alias("total"), F.count_if(r).alias("returned"), F.round(F.coalesce(F.sum(F.when(r, F.col("l_extendedprice"))), F.lit(0.0)), 2).alias("returned_total"))
+    return load(spark, d, "lineitem").agg(rows().alias("n"), money("l_extendedprice").alias("total"), F.count_if(r).alias("returned"), F.round(F.coalesce(F.sum(F.when(r, F.col("l_extendedprice"))), F.lit(0.0)), 2).alias("returned_total"))
 
 
-@query(f"WITH {CUSTOMERS} SELECT region, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM cr JOIN orders ON c_custkey = o_custkey GROUP BY region")
+@query(f"WITH {CUSTOMERS} SELECT region, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean FROM cr JOIN orders ON c_custkey = o_custkey GROUP BY region")
 def region_totals(spark, d):
-    return load(spark, d, "orders").join(regional(spark, d), F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg(n.alias("n"), money("o_totalprice").alias("total"), mean("o_totalprice").alias("mean"))
+    return load(spark, d, "orders").join(regional(spark, d), F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg(rows().alias("n"), money("o_totalprice").alias("total"), mean("o_totalprice").alias("mean"))
 
 
 @query("SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def distinct_count_by_day(spark, d):
-    return events(spark, d).groupBy(F.to_date("ts").alias("day")).agg(n.alias("n"), F.countDistinct("user_id").alias("users"))
+    return events(spark, d).groupBy(F.to_date("ts").alias("day")).agg(rows().alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @query("SELECT year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
 def month_rollup(spark, d):
-    return load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(n.alias("n"), money("o_totalprice").alias("total"))
+    return load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(rows().alias("n"), money("o_totalprice").alias("total"))
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, event_type, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, event_type, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1, 2")
 def time_bucket(spark, d):
-    return events(spark, d).groupBy(bucket_start("hour", F.col("ts")).alias("bucket"), "event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), mean("value").alias("mean"), money("value").alias("total"), n.alias("n"))
+    return events(spark, d).groupBy(bucket_start("hour", F.col("ts")).alias("bucket"), "event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), mean("value").alias("mean"), money("value").alias("total"), rows().alias("n"))
 
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY user_id, event_type")
@@ -480,21 +482,21 @@ def latest_per_key(spark, d):
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c) WHERE k = 1")
 def mode_per_group(spark, d):
-    c = load(spark, d, "events").groupBy("user_id", "event_type").agg(n.alias("n"))
+    c = load(spark, d, "events").groupBy("user_id", "event_type").agg(rows().alias("n"))
     best = c.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "event_type")).alias("b"))
     return best.select("user_id", "b.event_type", (-F.col("b.k")).alias("n"))
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, sum(n)::BIGINT AS n, string_agg(event_type || '=' || n, ';' ORDER BY event_type) AS by_type FROM c GROUP BY user_id")
 def nested_group(spark, d):
-    c = load(spark, d, "events").groupBy("user_id", "event_type").agg(n.alias("n"))
+    c = load(spark, d, "events").groupBy("user_id", "event_type").agg(rows().alias("n"))
     kinds = F.sort_array(F.collect_list(F.struct("event_type", "n")))
     return c.groupBy("user_id").agg(F.sum("n").alias("n"), F.array_join(F.transform(kinds, lambda x: F.concat(x["event_type"], F.lit("="), x["n"].cast("string"))), ";").alias("by_type"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus)")
 def grand_total_rollup(spark, d):
-    return load(spark, d, "orders").rollup("o_orderstatus").agg(n.alias("n"), money("o_totalprice").alias("total"))
+    return load(spark, d, "orders").rollup("o_orderstatus").agg(rows().alias("n"), money("o_totalprice").alias("total"))
 
 
 @query("SELECT round(sum(CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN o_totalprice END), 2) AS before, round(sum(CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' THEN o_totalprice END), 2) AS after FROM orders")
@@ -516,14 +518,14 @@ def account_statement(spark, d):
 
 @query("SELECT max(n) FILTER (o_orderstatus = 'F') AS f, max(n) FILTER (o_orderstatus = 'O') AS o, max(n) FILTER (o_orderstatus = 'P') AS p FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def status_dictionary(spark, d):
-    m = load(spark, d, "orders").groupBy("o_orderstatus").agg(n.alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    m = load(spark, d, "orders").groupBy("o_orderstatus").agg(rows().alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
     return m.select(*[F.col("m")[s].alias(s.lower()) for s in "FOP"])
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def pricing_summary(spark, d):
     li = load(spark, d, "lineitem").where(F.col("l_shipdate") <= datetime(1998, 9, 2))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity").alias("sum_qty"), money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), n.alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity").alias("sum_qty"), money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), rows().alias("n"))
 
 
 # ---- bulk writes
@@ -531,7 +533,7 @@ def pricing_summary(spark, d):
 
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
 def bulk_insert(spark, d):
-    return events_by_hash(spark, d).df().agg(n.alias("n"), F.countDistinct("user_id").alias("users"))
+    return events_by_hash(spark, d).df().agg(rows().alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @query("SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'error' THEN value * 2 ELSE value END AS value, props FROM events")

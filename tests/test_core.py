@@ -60,7 +60,7 @@ def test_catalog_groups_shards_and_tiers(tmp_path):
 
 
 def test_specs_and_validation():
-    s = T.StructType.fromDDL("customer_id int, name string, start timestamp_ntz") if hasattr(T.StructType, "fromDDL") else T.StructType([T.StructField("customer_id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("start", T.TimestampNTZType())])
+    s = T.StructType([T.StructField("customer_id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("start", T.TimestampNTZType())])
     t = TableSpec.build("customer", s, temporal=TemporalSpec("start"))
     assert t.key == "customer_id"
     for bad in ({"key": "x"}, {"temporal": TemporalSpec("name")}, {"temporal": TemporalSpec("x")}, {"strategy": ByHash("x", 2)}):
