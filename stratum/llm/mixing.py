@@ -4,7 +4,7 @@ Documents are summed up by membership pattern (the set of sources they count for
 for each repetition at the convex cost of its number, to the sources of the pattern, and from each source to the sink
 at the capacity of its quota. The least cost says how many words each pattern gives: whole passes over its documents and
 a rest. The rest goes to documents in the order of a seeded hash: a histogram of hashes finds the cell where the rest
-runs out; cells before it are taken whole, and documents from there on are taken wherever they still fit.
+runs out; cells before it are taken whole, and documents from there on while they fit, the last few so chosen that little is left.
 
 Only patterns (their number is bounded by MOST_PATTERNS), histogram cells and the documents of each pattern's last cells
 (a bounded number of hashes) reach the driver.
@@ -27,6 +27,8 @@ from .common import hidden, written
 
 WEIGHTS, SHARE, COPIES, SEED = (5, 2, 1), 1.5, 2, 11
 MOST_PATTERNS, CELL, MOST_LEAVES = 20_000, 512, 4096
+#: The last documents of a pattern that are chosen together, and the most words that this looks at.
+TAIL, MOST_TAIL_WORDS = 16, 1 << 22
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -191,12 +193,37 @@ def _cuts(rows: DataFrame, rest: dict[str, int], count: dict[str, int]) -> tuple
         return {}, []
     s = F.broadcast(spark.createDataFrame([(p, c, ends[p]) for p, c in cuts.items()], "pattern string, cut long, end long"))
     last = rows.join(s, "pattern").where((F.col("hash") >= F.col("cut")) & (F.col("hash") <= F.col("end"))).groupBy("pattern", "hash").agg(F.sum("size").alias("size")).collect()
-    taken = []
-    for r in sorted(last, key=lambda r: (r["pattern"], r["hash"])):
-        if r["size"] <= left[r["pattern"]]:
-            left[r["pattern"]] -= r["size"]
-            taken.append((r["pattern"], r["hash"]))
-    return cuts, taken
+    by_pattern: dict[str, list[tuple[int, int]]] = {}
+    for r in last:
+        by_pattern.setdefault(r["pattern"], []).append((r["hash"], r["size"]))
+    return cuts, [(p, h) for p in sorted(by_pattern) for h in _fitting(sorted(by_pattern[p]), left[p])]
+
+
+def _fitting(docs: list[tuple[int, int]], left: int) -> list[int]:
+    """Hashes of documents (hash, size), in order while they fit; the last ones are chosen so that little is left."""
+    n = 0
+    while n < len(docs) and docs[n][1] <= left:
+        left -= docs[n][1]
+        n += 1
+    back = max(0, n - TAIL)
+    left += sum(size for _, size in docs[back:n])
+    out, open_ = [h for h, _ in docs[:back]], [d for d in docs[back:] if d[1] <= left][: 4 * TAIL]
+    if left > MOST_TAIL_WORDS:
+        for h, size in open_:
+            if size <= left:
+                left -= size
+                out.append(h)
+        return out
+    # bit k of a row: k words can be reached with the documents so far
+    rows, mask = [1], (1 << (left + 1)) - 1
+    for _, size in open_:
+        rows.append((rows[-1] | rows[-1] << size) & mask)
+    at = rows[-1].bit_length() - 1
+    for k in range(len(open_), 0, -1):
+        if not rows[k - 1] >> at & 1:
+            out.append(open_[k - 1][0])
+            at -= open_[k - 1][1]
+    return out
 
 
 def decide(df: DataFrame, plan: Plan, names: list[str]) -> DataFrame:

@@ -129,7 +129,7 @@ def write_warc(pages: DataFrame, page_id: str, url: str, payload: str, to: str |
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(f"{folder}/{name}")
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)  # members are compressed already
                 out.write(data := record(*row))
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -157,7 +157,7 @@ def read_warc(spark: SparkSession, folder_uri: str, with_payload: bool = True) -
         for batch in batches:
             for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, held, n = [], 0, 0
-                with fs.open_input_stream(f"{folder}/{name}") as f:
+                with fs.open_input_stream(f"{folder}/{name}", compression=None) as f:
                     for row in read_stream(f):
                         rows.append(row if with_payload else row[:-1])
                         n, held = n + 1, held + (len(row[-1] or b"") if with_payload else 0) + 200

@@ -65,11 +65,11 @@ def auc(score, y):
     return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
 
 
-@pytest.mark.parametrize("name,label,least", [("op2_toxicity", "toxic", 0.85), ("op4_quality_kernel", "quality", 0.9)])
-def test_classifiers_on_held_out_documents(spark, name, label, least):
-    out = queries()[name](spark, SF)
+@pytest.mark.parametrize("name,label,least,sf", [("op2_toxicity", "toxic", 0.9, "/root/testdata/sf0.1"), ("op4_quality_kernel", "quality", 0.9, SF)])
+def test_classifiers_on_held_out_documents(spark, name, label, least, sf):
+    out = queries()[name](spark, sf)
     n, fold = (5, 0) if label == "toxic" else (3, 1)
-    rows = out.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    rows = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == fold) for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     held = [r for r in rows if r["held_out"]]
@@ -125,6 +125,18 @@ def test_mix_meets_targets(spark):
     assert again == {(r["doc_id"], r["taken"]) for r in out}
 
 
+def test_last_documents_fill_the_rest():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 100):
+        docs = [(h, int(s)) for h, s in enumerate(rng.integers(50, 900, n))]
+        size = dict(docs)
+        for left in (0, 10, 700, 20_000):
+            got = mixing._fitting(docs, left)
+            assert len(got) == len(set(got)) and sum(size[h] for h in got) <= left
+            if n == 100 and left >= 20_000:
+                assert left - sum(size[h] for h in got) <= 2
+
+
 def test_flow_over_overlapping_sources():
     """Shared documents go where they are needed; repeats only once single passes are used up."""
     flows = mixing.route({("a",): 100, ("b",): 50, ("a", "b"): 60}, {"a": 120, "b": 90})
