@@ -34,7 +34,7 @@ EPOCHS, BATCH, RATE, SEED = 3, 64, 0.01, 17
 #: Standard errors by which log odds shrink.
 DOUBT = 1.5
 #: What a share of clean documents marked costs, against the same share of toxic ones missed.
-FALSE_COST = 8
+FALSE_COST = 4
 LANGUAGES, LETTERS = 4, 256
 #: Words that a worker remembers.
 CACHE = 200_000
