@@ -96,6 +96,20 @@ SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+#: All pairs of vectors, and what each reaches.
+SQL["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_dot_product(e, e)) AS norm FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, min(r) AS component_id, min(r) = e.vec_id AS kept
+FROM embeddings e JOIN reach ON reach.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id, n_links
+"""
+
 _BETWEEN, _UPPER, _LOWER = licenses.BETWEEN, licenses.UPPER, licenses.LOWER
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 
@@ -118,6 +132,22 @@ SELECT doc_id, license, n AS n_shingles, n_found, n_found / n AS containment, at
 FROM hits JOIN sizes USING (license) WHERE 100 * n_found >= 80 * n
 """
 
+#: All pairs of documents that share a shingle, and what each reaches.
+SQL["op9_minhash"] = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+    JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
+
 _QUERIES = [op1_embedding_near_dedup, op2_toxicity, op3_warc, op4_quality_kernel, op5_token_ids, op6_quality_rules, op7_mixing, op8_license_scan, op9_minhash, op10_byte_bpe]
 
 
