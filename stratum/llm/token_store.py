@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +38,41 @@ TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: The number that stands for a null id.
 NO_ID = 1 << 63
 #: Chunks (runs without ASCII white space) whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
+#: Characters of text that are encoded at once.
+BLOCK = 1 << 20
 #: Documents that a file may hold; a partition writes as many files as it needs.
 FILE_DOCS = 1 << 20
 
 _tokenizers: dict = {}
 
 
+class _Chunks(dict):
+    """Ids by chunk, in two generations: what is used again outlives a turn of the cache."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.old[chunk]
+        return ids
+
+    def knows(self, chunk: str) -> bool:
+        return chunk in self or chunk in self.old
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class Tokenizer:
     """A tokenizers file whose splits never cross white space, with a cache of chunks.
 
     The text is cut at blanks, tabs, line feeds and carriage returns, and each distinct chunk goes through the library
-    once. That needs a tokenizer which drops white space; others get whole texts (checked once, by their pre-tokenizer).
+    once. That needs a tokenizer which drops white space; others get whole texts (checked once, by a probe). Where the
+    probe shows that letters are lower-cased and split from a final mark, a chunk of letters shares the ids of its
+    lower-case form, and of that without the mark.
     """
 
     def __init__(self, path: str):
@@ -55,24 +80,38 @@ class Tokenizer:
 
         self.lib = Library.from_file(path)
         self.lib.encode_special_tokens = False
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks()
+        ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = "ab, cd\n ef\t\r gh"
-        self.splits = [*self.lib.encode(probe, add_special_tokens=False).ids] == [i for c in probe.split() for i in self.lib.encode(c, add_special_tokens=False).ids]
+        self.splits = [*ids(probe)] == [i for c in probe.split() for i in ids(c)]
+        self.marks = "".join(m for m in ".,!?" if all(ids(w + m) == [*ids(w.lower()), *ids(m)] for w in ("ab", "Cd", "thing", "QRS", "the")))
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, forms, new = self.cache, [], {}
+        for c in chunks:
+            base, mark = (c[:-1], c[-1]) if c[-1:] in self.marks and c[:-1].isalpha() else (c, "")
+            if self.marks and base.isascii() and base.isalpha():
+                base = base.lower()
+            forms.append((c, base, mark))
+            for x in (base, mark):
+                if not known.knows(x):
+                    new[x] = b""
+        for x, e in zip(new, self.lib.encode_batch_fast([*new], add_special_tokens=False), strict=True):
+            known[x] = array("I", e.ids).tobytes()
+        for c, base, mark in forms:
+            known[c] = known[base] + known[mark] if mark else known[base]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
-            return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-        out = []
-        for t in texts:
-            chunks = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if new := [c for c in {*chunks} if c not in self.cache]:
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                    new = [*{*chunks}]
-                for c, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.cache[c] = np.array(e.ids, np.uint32).tobytes()
-            out.append(b"".join(map(self.cache.__getitem__, chunks)))
-        return out
+            return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known = self.cache
+        if len(known) > CACHE:
+            known.turn()
+        if new := [c for c in set(chain.from_iterable(split)) if not known.knows(c)]:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -87,7 +126,10 @@ class FileWriter:
     def __init__(self, fs, path: str, dictionary: bytes):
         import zstandard as z
 
-        self.z = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None)
+        d = z.ZstdCompressionDict(dictionary) if dictionary else None
+        if d:
+            d.precompute_compress(level=3)
+        self.z = z.ZstdCompressor(level=3, dict_data=d)
         self.out, self.at, self.index, self.ids = fs.open_output_stream(path), 48, [], 0
         self.out.write(MAGIC + hashlib.sha256(dictionary).digest() + bytes(8))
 
@@ -138,8 +180,11 @@ def train_dictionary(docs: DataFrame, text: str, path: str, end_id: int) -> byte
     import zstandard as z
 
     t = F.col(f"`{text}`")
-    least = docs.where(F.length(t) > 0).select(F.xxhash64(t).alias("h"), F.substring(t, 1, TRAIN_BYTES).alias("t")).orderBy("h", "t").limit(TRAIN_DOCS)
-    samples = [x + struct.pack("<I", end_id) for x in tokenizer(path).encode([r["t"] for r in least.collect()])]
+    some = docs.where(F.length(t) > 0).withColumn("h", F.xxhash64(t))
+    # hashes first, as every task sends its least ones; then only the texts of the least of all
+    hashes = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
+    least = some.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min(F.substring(t, 1, TRAIN_BYTES)).alias("t")).collect()
+    samples = [x + struct.pack("<I", end_id) for x in tokenizer(path).encode([r["t"] for r in sorted(least)])]
     try:
         return z.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 10), samples).as_bytes()
     except z.ZstdError:
@@ -171,14 +216,14 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [docs], "n_ids": [out.close()], "first_doc": [first], "part": [part]}, schema=pa.schema(_ARROW))
 
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, ids in _encoded(tok, batch):
                 if out is not None and docs >= FILE_DOCS:
                     yield closed()
                     out, part = None, part + 1
                 if out is None:
                     name, first, docs = f"{uuid.uuid4().hex}.tok", doc, 0
                     out = FileWriter(fs, f"{folder}/{name}", shared.value)
-                out.add(NO_ID if doc is None else doc & 0xFFFFFFFFFFFFFFFF, tok.encode([t])[0] + end)
+                out.add(NO_ID if doc is None else doc & 0xFFFFFFFFFFFFFFFF, ids + end)
                 docs += 1
         if out is not None:
             yield closed()
@@ -197,6 +242,19 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int
     return to
 
 
+def _encoded(tok: Tokenizer, batch):
+    """(id, ids) of each document of a batch, encoded in blocks of bounded size."""
+    docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK):
+            n += len(texts[j])
+            j += 1
+        yield from zip(docs[i:j], tok.encode(texts[i:j]), strict=True)
+        i = j
+
+
 _ARROW = [("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("part", pa.int32())]
 
 
