@@ -285,7 +285,10 @@ class Custom(Strategy):
         return self.pruner(known) if self.pruner else None
 
 
-def shard_levels(strategy: Strategy, schema: T.StructType) -> dict[str, Column]:
+def shard_levels(strategy: Strategy | None, schema: T.StructType) -> dict[str, Column]:
+    """Shard columns by name, outermost first; none for a plain table."""
+    if strategy is None:
+        return {}
     if isinstance(strategy, Composite):
         return {p.shard_column: p.shard(schema) for p in strategy.parts}
     return {strategy.shard_column: strategy.shard(schema)}

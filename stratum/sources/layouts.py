@@ -20,7 +20,7 @@ def read(spark: SparkSession, spec: TableSpec, paths: list[str], fmt: str = "par
 
 
 def _null_keys(df: DataFrame, spec: TableSpec) -> None:
-    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec.strategy.columns])
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec.strategy.columns], F.lit(False))
     if df.where(bad).limit(1).count():
         raise RoutingError(f"a row of {spec.name} has no shard key")
 
@@ -41,7 +41,7 @@ class Directories:
 
     def write(self, df: DataFrame, spec: TableSpec, mode: str = "append", check: bool = True) -> None:
         """One shuffle by shard and row, so that a shard of any size is written by many tasks and each task has few files."""
-        if check:
+        if check and spec.strategy:
             _null_keys(df, spec)
         levels = shard_levels(spec.strategy, spec.schema)
         df.select(*spec.schema.names).withColumns(levels).hint("rebalance", *levels).write.option("partitionOverwriteMode", "dynamic").partitionBy(*levels).mode(mode).format(self.fmt).save(self.root)
@@ -122,6 +122,16 @@ class Mapped:
         return _union([spark.read.schema(spec.schema).format(self.fmt).load(p).where(c).withColumn("shard", F.lit(p)) for p, c in self.paths if hint is None or p == hint], spark, spec)
 
 
+def refused(df: DataFrame, spec: TableSpec, shard: ShardSpec) -> DataFrame:
+    """Rows that a shard may not take: all of them if it is closed to writes, else those that start outside its dates."""
+    if not shard.writable:
+        return df
+    if shard.date_range is None or spec.temporal is None:
+        return df.limit(0)
+    start = F.col(spec.temporal.valid_from)
+    return df.where(~F.coalesce((start >= F.lit(shard.date_range.start)) & (start < F.lit(shard.date_range.end)), F.lit(False)))
+
+
 class SinkChain:
     """Bulk sinks: the first that can take a table writes it, else the layout does."""
 

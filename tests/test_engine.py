@@ -126,6 +126,23 @@ def test_sinks_are_asked_in_order(spark, tmp_path):
     assert taken == [30] and spark.read.parquet(layout.root).count() == 30
 
 
+def test_plain_tables_jdbc_options_and_refused_rows(spark, tmp_path):
+    from stratum.sources.jdbc import options
+    from stratum.sources.layouts import refused
+
+    rows = regions(spark)
+    spec = TableSpec("plain", rows.schema)
+    layout = Directories(str(tmp_path / "p"))
+    assert bulk_insert(rows, spec, layout) == 30 and bulk_insert(rows.limit(0), spec, layout) == 0
+    assert mounted(spark, spec, layout).where_eq(region="EU").count() == 10
+    s = ShardSpec("eu", mode=StorageMode.DATABASES, path="jdbc:x", schema="sales", date_range=DateRange(D(1996, 1, 1), D(1997, 1, 1)))
+    assert options(s, "orders")["dbtable"] == "sales.orders" and options(s, "orders", key="id", high=9, parts=3)["numPartitions"] == "3"
+    v = workload.order_versions(spark, SF)
+    spec = TableSpec("contract", v.schema, temporal=workload.VALID)
+    assert refused(v, spec, s).count() == v.where("year(valid_from) <> 1996").count() and refused(v, spec, ShardSpec("x")).count() == 0
+    assert refused(v, spec, ShardSpec("x", read_only=True)).count() == v.count()
+
+
 def test_transactions(spark, tmp_path):
     log = FileLog(str(tmp_path / "log"))
     c = Coordinator(spark, str(tmp_path / "t"), log, {"eu", "us"}, Options(retries=2, first_wait=0.01))
