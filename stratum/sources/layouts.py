@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import ShardSpec, TableSpec, Tier
 from ..errors import ReadOnlyShard, RoutingError
@@ -33,7 +34,9 @@ class Directories:
     fmt: str = "parquet"
 
     def scan(self, spark: SparkSession, spec: TableSpec, known: Known, hint: str | None = None) -> DataFrame:
-        rows = spark.read.format(self.fmt).load(self.root)
+        # the schema is known: no footer is read to find it, and shard values keep their types
+        levels = spark.createDataFrame([], spec.schema).select(*[c.alias(k) for k, c in shard_levels(spec.strategy, spec.schema).items()]).schema if spec.strategy else T.StructType()
+        rows = spark.read.schema(T.StructType([*spec.schema.fields, *levels.fields])).format(self.fmt).load(self.root)
         if hint is not None:
             return rows.where(F.col(spec.strategy.shard_column).cast("string") == hint)
         keep = spec.strategy.prune(known, spec.schema) if spec.strategy else None
