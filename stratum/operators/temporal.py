@@ -95,10 +95,21 @@ def temporal_join(left: DataFrame, lt: TemporalSpec, right: DataFrame, rt: Tempo
     return valid_at(left, lt, moment).join(valid_at(right, rt, moment), on, how)
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """Each left row with the latest right values not after it, by one sorted pass over the union of both."""
-    r = right.select(F.col(key), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(F.col(right_ts), *values).alias("__right"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__left"))
-    w = Window.partitionBy(key).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    lft = left.select(F.col(key), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.struct("*").alias("__left"))
-    both = r.union(lft).withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__left.*", F.col(f"__right.{right_ts}").alias(f"matched_{right_ts}"), *[F.col(f"__right.{v}").alias(f"matched_{v}") for v in values])
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], unit: str = "day") -> DataFrame:
+    """Each left row with the latest right values not after it.
+
+    Rows are sorted within a key's calendar unit only, so that a key of any size is many groups. What a unit starts with
+    is the last right row of the key's earlier units: a running last over one row for each unit.
+    """
+    found = F.struct(F.col(right_ts), *[F.col(v) for v in values])
+    r = right.select(F.col(key), F.col(right_ts).alias("__ts"), F.date_trunc(unit, F.col(right_ts)).alias("__unit"), found.alias("__right"))
+    lft = left.select(F.col(key), F.col(left_ts).alias("__ts"), F.date_trunc(unit, F.col(left_ts)).alias("__unit"), F.struct("*").alias("__left"))
+    units = r.groupBy(key, "__unit").agg(F.max_by("__right", "__ts").alias("__last")).unionByName(lft.select(key, "__unit").distinct(), allowMissingColumns=True)
+    units = units.groupBy(key, "__unit").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    before = Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
+    carried = units.select(key, "__unit", F.last("__last", ignorenulls=True).over(before).alias("__right")).where("__right is not null")
+    rows = carried.select(key, F.lit(None).cast(r.schema["__ts"].dataType).alias("__ts"), "__unit", "__right", F.lit(0).alias("__side"))
+    rows = rows.unionByName(r.withColumn("__side", F.lit(1))).unionByName(lft.withColumn("__side", F.lit(2)), allowMissingColumns=True)
+    w = Window.partitionBy(key, "__unit").orderBy(F.col("__ts").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 2")
+    return out.select("__left.*", F.col(f"__right.{right_ts}").alias(f"matched_{right_ts}"), *[F.col(f"__right.{v}").alias(f"matched_{v}") for v in values])
