@@ -5,7 +5,8 @@
 2. Documents that share a key are candidates. First each is compared with the least node of its bucket, which is linear
    however large the bucket; links found give provisional components. Then, in buckets with several components, documents
    of different ones are compared, in blocks of bounded size, each pair in its first shared band only. Pairs within a
-   component need no comparison: they are connected already.
+   component need no comparison: they are connected already. A few rounds
+   follow the likeliest link of each component only, which joins large groups before all that is left is compared.
 3. A comparison reads the signatures in batches of STEP. After each, the pair goes if the posterior probability (uniform
    prior) that its similarity reaches the threshold is under MISS. Survivors are verified on their full sets.
 4. Components of all verified links; a document's is the least id in it.
@@ -31,7 +32,9 @@ from .common import grouped, mix64, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, SIGNATURE, STEP, MISS = 24, 5, 256, 32, 1e-6
+BANDS, ROWS, SIGNATURE, STEP, MISS = 24, 5, 512, 64, 1e-6
+#: Rounds that follow the likeliest links only, before the one that looks at all.
+ROUNDS = 3
 #: Members of a side of a block.
 BLOCK = 1024
 #: Words whose hashes a worker remembers.
@@ -145,8 +148,8 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
-def plausible(a: np.ndarray, b: np.ndarray, need: list[int]) -> np.ndarray:
-    """Which rows of two signature arrays survive all batches."""
+def plausible(a: np.ndarray, b: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two signature arrays survive all batches, and how many of their hashes agree."""
     alive, seen = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, least in enumerate(need):
         cols = slice(k * STEP, (k + 1) * STEP)
@@ -155,7 +158,7 @@ def plausible(a: np.ndarray, b: np.ndarray, need: list[int]) -> np.ndarray:
         alive, seen = alive[go], seen[go]
         if not len(alive):
             break
-    return alive
+    return alive, seen
 
 
 def _signatures(column) -> np.ndarray:
@@ -170,7 +173,7 @@ def prune(pairs: DataFrame, nodes: DataFrame, need: list[int]) -> DataFrame:
     def run(batches):
         for x in batches:
             if x.num_rows:
-                alive = plausible(_signatures(x.column(2)), _signatures(x.column(3)), need)
+                alive, _ = plausible(_signatures(x.column(2)), _signatures(x.column(3)), need)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(alive)), x.column(1).take(pa.array(alive))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -224,9 +227,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, members binary")
 
 
-def _across(rows: DataFrame, need: list[int]) -> DataFrame:
+def _across(rows: DataFrame, need: list[int], likely: int | None = None) -> DataFrame:
     """Plausible pairs of rows (key, node, label, signature, bands), sorted into blocks by (key, kind, i, j, side).
 
+    With likely, only the best pair of each label in a block, of those in which so many hashes agree.
+
     Kind 0 sets the bucket's largest component against the others; kind 1 sets the others against each other, blocks
     i and j of them.
     """
@@ -245,12 +250,21 @@ def _across(rows: DataFrame, need: list[int]) -> DataFrame:
         # in pieces, so that memory is bounded
         for at in range(0, len(p), 1 << 16):
             a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-            alive = plausible(sig[a], sig[b], need)
+            alive, agree = plausible(sig[a], sig[b], need)
             a, b = a[alive], b[alive]
             same = bands[a] == bands[b]
-            first = bands[a, same.argmax(1)] == key
-            out.append(np.column_stack([node[a[first]], node[b[first]]]))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            go = bands[a, same.argmax(1)] == key
+            if likely is not None:
+                go &= agree >= likely
+            out.append(np.column_stack([a[go], b[go], agree[go]]))
+        pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        if likely is not None and len(pairs):
+            labels = np.concatenate([label[pairs[:, 0]], label[pairs[:, 1]]])
+            which = np.tile(np.arange(len(pairs)), 2)
+            order = np.lexsort([which, -pairs[which, 2], labels])
+            first = np.concatenate([[True], labels[order][1:] != labels[order][:-1]])
+            pairs = pairs[np.unique(which[order][first])]
+        return node[pairs[:, :2]]
 
     def run(batches):
         for (key, kind, i, j), t in grouped(batches, ["key", "kind", "i", "j"]):
@@ -291,14 +305,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     first = written(verify(prune(stars, nodes, need), sets, percent), "links")
     label = written(components(first), "labels")
 
-    rest = shared.where("size > 2 and node <> least").select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    tally = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    keys = tally.select("key", F.col("m.label").alias("top"), F.col("m.n").alias("n_top"), (F.col("all") - F.col("m.n")).alias("n_other"))
-    dealt = _blocks(written(rest, "rest"), written(keys, "keys")).join(nodes.select("node", "signature", "bands"), "node")
-    second = verify(_across(dealt, need).distinct(), sets, percent)
+    def unsettled(label: DataFrame) -> DataFrame:
+        """Blocks of the buckets whose members are of several components; their least nodes have met all others."""
+        rest = shared.where("size > 2 and node <> least").select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        tally = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+        keys = written(tally.select("key", F.col("m.label").alias("top"), F.col("m.n").alias("n_top"), (F.col("all") - F.col("m.n")).alias("n_other")), "keys")
+        return _blocks(written(rest.join(keys.select("key"), "key", "left_semi"), "rest"), keys).join(nodes.select("node", "signature", "bands"), "node")
+
+    def with_labels(links: DataFrame) -> DataFrame:
+        return links.union(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    for _ in range(ROUNDS):
+        more = written(verify(_across(unsettled(label), need, SIGNATURE * percent // 100).distinct(), sets, percent), "links")
+        if not more.limit(1).count():
+            break
+        label = written(components(with_labels(more)), "labels")
+    second = verify(_across(unsettled(label), need).distinct(), sets, percent)
 
-    links = second.union(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = components(links)
+    final = components(with_labels(second))
     named = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(ids, "component").select("node", "component_id"), "classes")
