@@ -20,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import alone
+
 #: Bytes of text that one round of SQL takes.
 BLOCK_BYTES = 4 << 20
 #: Pieces over so many bytes are contracted with a heap.
 LONG_PIECE = 192
 #: Pieces that a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
+#: Pieces and tokens that one query takes.
+SQL_PIECES, SQL_TOKENS = 32_768, 1 << 19
 
 _codecs: dict = {}
 
@@ -69,7 +73,7 @@ class Codec:
         self.one = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if self.one.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.db.register("m_", pa.table({"l": left, "r": right, "rank": rank}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m_")
         self.db.register("v_", pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}))
@@ -108,8 +112,11 @@ class Codec:
             else:
                 rest.append(p)
                 raw.append(b)
-        if not rest:
-            return
+        for at in range(0, len(rest), SQL_PIECES):
+            self._contract(rest[at : at + SQL_PIECES], raw[at : at + SQL_PIECES])
+
+    def _contract(self, rest: list[str], raw: list[bytes]) -> None:
+        """Encodes pieces by the recursive query."""
         size = np.array([len(b) for b in raw])
         start = np.cumsum(size) - size
         key = np.repeat(np.arange(len(raw)) * 256 - start, size) + np.arange(size.sum())
@@ -147,9 +154,22 @@ class Codec:
             out[d] = chars.encode("latin-1")
         return out
 
+    def decode_all(self, ids: list[bytes]) -> list[bytes]:
+        """decode() in rounds of about SQL_TOKENS tokens."""
+        out, i = [], 0
+        while i < len(ids):
+            j, n = i, 0
+            while j < len(ids) and (j == i or n + len(ids[j]) <= 4 * SQL_TOKENS):
+                n += len(ids[j])
+                j += 1
+            out += self.decode(ids[i:j])
+            i = j
+        return out
+
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, one for each worker."""
+    alone("byte_bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -181,7 +201,7 @@ def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str =
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             for i, j in _blocks(texts):
                 enc = c.encode(texts[i:j])
-                dec = c.decode(enc)
+                dec = c.decode_all(enc)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(keep))] + [pa.array(enc, pa.binary()), pa.array(dec, pa.binary())], names=[*keep, ids, decoded])
 
     src = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"])

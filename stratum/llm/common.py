@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+_caches: dict = {}
+
 _made: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -134,3 +136,19 @@ def bound(df: DataFrame, name: str, value) -> DataFrame:
     nothing is pushed through the generator that gives this one.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def alone(name: str, clear) -> None:
+    """To be called where an operator's worker cache is used: workers outlive a stage, and what other operators keep in this one goes."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    _caches[name] = clear
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, mix64, written
+from .common import alone, grouped, mix64, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -115,6 +115,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), node (fingerprint of the set), signature and bands of docs (doc_id, text)."""
 
     def run(batches):
+        alone("minhash", _words.clear)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i in range(0, len(texts), 512):
@@ -218,6 +219,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """node and members (its set's sorted hashes) of docs (doc_id, text)."""
 
     def run(batches):
+        alone("minhash", _words.clear)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i in range(0, len(texts), 256):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold
+from .common import alone, crc_fold
 
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 60_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -296,6 +296,7 @@ _scorers: dict = {}
 
 
 def _scorer(shared) -> Scorer:
+    alone("toxicity", _scorers.clear)
     if shared.id not in _scorers:
         _scorers.clear()
         _scorers[shared.id] = Scorer(shared.value)
