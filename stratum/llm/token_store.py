@@ -21,6 +21,8 @@ first (the least long is taken for a null id); an empty table has one dictionary
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 from array import array
@@ -31,20 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, hidden, new_path
+from .common import alone, filesystem, hidden, new_path
 
 MAGIC, TAIL = b"TOKZST01", b"TOKZEND1"
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1_000, 8_192, 64 << 10
 #: The number that stands for a null id.
 NO_ID = 1 << 63
 #: Chunks (runs without ASCII white space) whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 500_000
 #: Characters of text that are encoded at once.
 BLOCK = 1 << 20
 #: Documents that a file may hold; a partition writes as many files as it needs.
 FILE_DOCS = 1 << 20
 
 _tokenizers: dict = {}
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile(r"[ \t\n\r]+")
 
 
 class _Chunks(dict):
@@ -58,8 +62,8 @@ class _Chunks(dict):
         self[chunk] = ids = self.old[chunk]
         return ids
 
-    def knows(self, chunk: str) -> bool:
-        return chunk in self or chunk in self.old
+    def unknown(self, chunks: set[str]) -> set[str]:
+        return chunks.difference(self).difference(self.old)
 
     def turn(self) -> None:
         self.old = dict(self)
@@ -69,8 +73,7 @@ class _Chunks(dict):
 class Tokenizer:
     """A tokenizers file whose splits never cross white space, with a cache of chunks.
 
-    The text is cut at blanks, tabs, line feeds and carriage returns, and each distinct chunk goes through the library
-    once. That needs a tokenizer which drops white space; others get whole texts (checked once, by a probe). Where the
+    The text is cut at white space, and each distinct chunk goes through the library once. That needs a tokenizer which drops white space; others get whole texts (checked once, by a probe). Where the
     probe shows that letters are lower-cased and split from a final mark, a chunk of letters shares the ids of its
     lower-case form, and of that without the mark.
     """
@@ -84,19 +87,39 @@ class Tokenizer:
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = "ab, cd\n ef\t\r gh"
         self.splits = [*ids(probe)] == [i for c in probe.split() for i in ids(c)]
+        # tokens that end a word, if the vocabulary says so
+        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.splits:
+            self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
+            for token, k in self.lib.get_vocab().items():
+                self.ends[k] = token.endswith(suffix)
         self.marks = "".join(m for m in ".,!?" if all(ids(w + m) == [*ids(w.lower()), *ids(m)] for w in ("ab", "Cd", "thing", "QRS", "the")))
 
-    def _learn(self, chunks: list[str]) -> None:
-        known, forms, new = self.cache, [], {}
+    def _learn(self, chunks: set[str]) -> None:
+        known, forms, bases = self.cache, [], set()
         for c in chunks:
-            base, mark = (c[:-1], c[-1]) if c[-1:] in self.marks and c[:-1].isalpha() else (c, "")
+            base, mark = (c[:-1], c[-1]) if c[-1] in self.marks and c[:-1].isalpha() else (c, "")
             if self.marks and base.isascii() and base.isalpha():
                 base = base.lower()
             forms.append((c, base, mark))
-            for x in (base, mark):
-                if not known.knows(x):
-                    new[x] = b""
-        for x, e in zip(new, self.lib.encode_batch_fast([*new], add_special_tokens=False), strict=True):
+            bases.add(base)
+            if mark:
+                bases.add(mark)
+        new = known.unknown(bases)
+        words = sorted(w for w in new if self.ends is not None and w.isalpha())
+        # many words in one text: each is a word to the tokenizer as well, and its last token says so
+        texts = [words[i : i + 128] for i in range(0, len(words), 128)]
+        for part, e in zip(texts, self.lib.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and (not len(cut) or cut[-1] == len(ids)):
+                raw, at = ids.tobytes(), 0
+                for w, k in zip(part, (4 * cut).tolist(), strict=True):
+                    known[w] = raw[at:k]
+                    at = k
+        rest = sorted(known.unknown(new))
+        for x, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[x] = array("I", e.ids).tobytes()
         for c, base, mark in forms:
             known[c] = known[base] + known[mark] if mark else known[base]
@@ -105,16 +128,18 @@ class Tokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        # split() takes four control characters for white space that a tokenizer does not
+        split = [t.split() if not any(c in t for c in _CONTROLS) else [c for c in _SPACE.split(t) if c] for t in texts]
         known = self.cache
         if len(known) > CACHE:
             known.turn()
-        if new := [c for c in set(chain.from_iterable(split)) if not known.knows(c)]:
+        if new := known.unknown(set(chain.from_iterable(split))):
             self._learn(new)
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 def tokenizer(path: str) -> Tokenizer:
+    alone("token_store", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer(path)
     return _tokenizers[path]
