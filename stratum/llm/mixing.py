@@ -4,10 +4,12 @@ Documents are summed up by membership pattern (the set of sources they count for
 for each repetition at the convex cost of its number, to the sources of the pattern, and from each source to the sink
 at the capacity of its quota. The least cost says how many words each pattern gives: whole passes over its documents and
 a rest. The rest goes to documents in the order of a seeded hash: a histogram of hashes finds the cell where the rest
-runs out; cells before it are taken whole, and documents from there on while they fit, the last few so chosen that little is left.
+runs out; cells before it are taken whole, and documents from there on if they fit, the last few so chosen that little is
+left. While words are left, the search goes on after these among the documents that are no longer than that, to the end of
+the hashes: what is left at last is less than any document (equal rows count as one) that is left out.
 
-Only patterns (their number is bounded by MOST_PATTERNS), histogram cells and the documents of each pattern's last cells
-(a bounded number of hashes) reach the driver.
+Only patterns (their number is bounded by MOST_PATTERNS), histogram cells and the documents of the cells where a search of
+a pattern ends (a bounded number of hashes) reach the driver.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, after all
 others; documents of no source are not taken; equal rows have one hash and are taken or left together; a null id is hashed as
@@ -29,6 +31,8 @@ WEIGHTS, SHARE, COPIES, SEED = (5, 2, 1), 1.5, 2, 11
 MOST_PATTERNS, CELL, MOST_LEAVES = 20_000, 512, 4096
 #: The last documents of a pattern that are chosen together, and the most words that this looks at.
 TAIL, MOST_TAIL_WORDS = 16, 1 << 22
+#: The greatest hash.
+LAST = (1 << 63) - 1
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +123,7 @@ class Plan:
     sizes: dict  # by source
     targets: dict
     flows: dict  # by pattern and source
-    by_pattern: DataFrame  # pattern, passes, cut (hashes below it are taken once more), source_size, target
+    by_pattern: DataFrame  # pattern, passes, cuts (stretches of hashes, and the most words of documents taken once more there), source_size, target
     leaves: DataFrame  # pattern, hash: taken once more as well
     small: bool
 
@@ -152,67 +156,88 @@ def plan_mix(rows: DataFrame, share: float = SHARE, weights=WEIGHTS, copies: int
     for p, f in flows.items():
         passes[p], rest[p] = divmod(sum(f.values()), patterns[p]) if patterns[p] else (0, 0)
     cuts, leaves = _cuts(rows, {name[p]: r for p, r in rest.items() if r}, count)
-    listing = [(name[p], passes.get(p, 0), cuts.get(name[p], 0), sum(sizes[s] for s in p) if p else None, float(sum(want[s] for s in p)) if p else None) for p in patterns]
-    return Plan(sizes, want, flows, spark.createDataFrame(listing, "pattern string, passes long, cut long, source_size long, target double"), spark.createDataFrame(leaves, "pattern string, hash long"), len(leaves) <= 200_000)
+    listing = [(name[p], passes.get(p, 0), cuts.get(name[p], []), sum(sizes[s] for s in p) if p else None, float(sum(want[s] for s in p)) if p else None) for p in patterns]
+    return Plan(sizes, want, flows, spark.createDataFrame(listing, "pattern string, passes long, cuts array<struct<low: long, last: long, most: long>>, source_size long, target double"), spark.createDataFrame(leaves, "pattern string, hash long"), len(leaves) <= 200_000)
 
 
-def _cuts(rows: DataFrame, rest: dict[str, int], count: dict[str, int]) -> tuple[dict[str, int], list[tuple[str, int]]]:
-    """For each pattern the hash below which documents are taken, and hashes taken beyond it."""
+def _cuts(rows: DataFrame, rest: dict[str, int], count: dict[str, int]) -> tuple[dict[str, list[tuple[int, int, int]]], list[tuple[str, int]]]:
+    """For each pattern the stretches (low, last, most) of the hash line of which documents of at most most words are taken, and hashes taken besides."""
     spark = rows.sparkSession
     rows = rows.where("size > 0")
-    # the part of the hash line under search: from low, cells of 2 ** shift
-    search = {p: (0, 63 - max(0, min(12, (count[p] // CELL).bit_length()))) for p in rest}
-    left, cuts, ends = dict(rest), {}, {}
-    while search:
-        s = F.broadcast(spark.createDataFrame([(p, low, shift) for p, (low, shift) in search.items()], "pattern string, low long, shift int"))
-        inside = rows.join(s, "pattern").where((F.col("hash") >= F.col("low")) & (F.expr("shiftright(hash - low, shift)") < 4096))
-        cells = inside.groupBy("pattern", F.expr("shiftright(hash - low, shift)").alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-        by: dict[str, dict[int, tuple[int, int]]] = {}
-        for r in cells:
-            by.setdefault(r["pattern"], {})[r["cell"]] = (r["size"], r["n"])
-        again = {}
-        for p, (low, shift) in search.items():
-            at, cell = 0, by.get(p, {})
-            for at in sorted(cell):
-                if cell[at][0] > left[p]:
-                    break
-                left[p] -= cell[at][0]
-            else:
-                at = max(cell, default=-1) + 1
-            start = min(low + (at << shift), (1 << 63) - 1)
-            if cell.get(at, (0, 0))[1] > MOST_LEAVES and shift:
-                again[p] = (start, max(0, shift - 12))
-            else:
+    left, cuts, leaves = dict(rest), {p: [] for p in rest}, []
+    # from where each pattern goes on; documents before that are decided on, those left out are longer than what is left
+    go = dict.fromkeys(rest, 0)
+    while go:
+        most = {p: left[p] for p in go}
+        # the part of the hash line under search: from low, cells of 2 ** shift
+        search = {p: (low, 63 - max(0, min(12, (count[p] // CELL).bit_length()))) for p, low in go.items()}
+        window: dict[str, tuple[int, int]] = {}
+        while search:
+            s = F.broadcast(spark.createDataFrame([(p, low, shift, most[p]) for p, (low, shift) in search.items()], "pattern string, low long, shift int, most long"))
+            inside = rows.join(s, "pattern").where((F.col("size") <= F.col("most")) & (F.col("hash") >= F.col("low")) & (F.expr("shiftright(hash - low, shift)") < 4096))
+            cells = inside.groupBy("pattern", F.expr("shiftright(hash - low, shift)").alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+            by: dict[str, dict[int, tuple[int, int]]] = {}
+            for r in cells:
+                by.setdefault(r["pattern"], {})[r["cell"]] = (r["size"], r["n"])
+            again = {}
+            for p, (low, shift) in search.items():
+                cell = by.get(p, {})
+                order, k = sorted(cell), 0
+                while k < len(order) and cell[order[k]][0] <= left[p]:
+                    left[p] -= cell[order[k]][0]
+                    k += 1
+                if k == len(order):
+                    # cells of a part searched again do not all fit, so this is the whole line from go[p] on
+                    cuts[p].append((go[p], LAST, most[p]))
+                    continue
+                start, n = low + (order[k] << shift), cell[order[k]][1]
+                if n > MOST_LEAVES and shift:
+                    again[p] = (start, max(0, shift - 12))
+                    continue
                 # the last cell, and as many after it as stay few
-                n, end = cell.get(at, (0, 0))[1], at + 1
-                while end in cell and n + cell[end][1] <= CELL:
-                    n, end = n + cell[end][1], end + 1
-                cuts[p], ends[p] = start, min(low + (end << shift), (1 << 63) - 1)
-        search = again
-    if not cuts:
-        return {}, []
-    s = F.broadcast(spark.createDataFrame([(p, c, ends[p]) for p, c in cuts.items()], "pattern string, cut long, end long"))
-    last = rows.join(s, "pattern").where((F.col("hash") >= F.col("cut")) & (F.col("hash") <= F.col("end"))).groupBy("pattern", "hash").agg(F.sum("size").alias("size")).collect()
-    by_pattern: dict[str, list[tuple[int, int]]] = {}
-    for r in last:
-        by_pattern.setdefault(r["pattern"], []).append((r["hash"], r["size"]))
-    return cuts, [(p, h) for p in sorted(by_pattern) for h in _fitting(sorted(by_pattern[p]), left[p])]
+                while k + 1 < len(order) and n + cell[order[k + 1]][1] <= CELL:
+                    k += 1
+                    n += cell[order[k]][1]
+                whole = k + 1 == len(order) and low + (4096 << shift) > LAST
+                window[p] = (start, LAST if whole else min(low + (order[k] + 1 << shift) - 1, LAST))
+                if start > go[p]:
+                    cuts[p].append((go[p], start - 1, most[p]))
+            search = again
+        if not window:
+            break
+        s = F.broadcast(spark.createDataFrame([(p, start, last, most[p]) for p, (start, last) in window.items()], "pattern string, start long, last long, most long"))
+        near = rows.join(s, "pattern").where((F.col("size") <= F.col("most")) & (F.col("hash") >= F.col("start")) & (F.col("hash") <= F.col("last"))).groupBy("pattern", "hash").agg(F.sum("size").alias("size")).collect()
+        by_pattern: dict[str, list[tuple[int, int]]] = {}
+        for r in near:
+            by_pattern.setdefault(r["pattern"], []).append((r["hash"], r["size"]))
+        for p in sorted(by_pattern):
+            taken, size = _fitting(sorted(by_pattern[p]), left[p]), dict(by_pattern[p])
+            left[p] -= sum(size[h] for h in taken)
+            leaves += [(p, h) for h in taken]
+        go = {p: last + 1 for p, (_, last) in window.items() if left[p] and last < LAST}
+    return cuts, leaves
 
 
 def _fitting(docs: list[tuple[int, int]], left: int) -> list[int]:
-    """Hashes of documents (hash, size), in order while they fit; the last ones are chosen so that little is left."""
-    n = 0
-    while n < len(docs) and docs[n][1] <= left:
-        left -= docs[n][1]
-        n += 1
-    back = max(0, n - TAIL)
-    left += sum(size for _, size in docs[back:n])
-    out, open_ = [h for h, _ in docs[:back]], [d for d in docs[back:] if d[1] <= left][: 4 * TAIL]
-    if left > MOST_TAIL_WORDS:
-        for h, size in open_:
-            if size <= left:
-                left -= size
-                out.append(h)
+    """Hashes of the documents (hash, size) that fit, in order; the last ones are chosen so that little is left.
+
+    What is left is less than any document that is left out.
+    """
+    taken, over = [], []
+    for d in docs:
+        if d[1] <= left:
+            left -= d[1]
+            taken.append(d)
+        else:
+            over.append(d)
+    open_: list[tuple[int, int]] = []
+    while taken and len(open_) < TAIL and left + taken[-1][1] <= MOST_TAIL_WORDS:
+        open_.append(taken.pop())
+        left += open_[-1][1]
+    # what was taken comes first, so that the choice leaves no more than before
+    open_ += [d for d in over if d[1] <= left][: 4 * TAIL - len(open_)]
+    out = [h for h, _ in taken]
+    if not open_:
         return out
     # bit k of a row: k words can be reached with the documents so far
     rows, mask = [1], (1 << (left + 1)) - 1
@@ -230,12 +255,13 @@ def decide(df: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
     """df, which has the plan's keys under names, with __copies, __source_size and __target."""
     pattern, hash_, size = names
     hint = F.broadcast if plan.small else (lambda x: x)
-    p = F.broadcast(plan.by_pattern.select(F.col("pattern").alias("__p"), "passes", "cut", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
+    p = F.broadcast(plan.by_pattern.select(F.col("pattern").alias("__p"), "passes", "cuts", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     leaf = hint(plan.leaves.select(F.col("pattern").alias("__lp"), F.col("hash").alias("__lh"), F.lit(1).alias("__leaf")))
     out = df.join(p, F.col(pattern) == F.col("__p"), "left").join(leaf, (F.col(pattern) == F.col("__lp")) & (F.col(hash_) == F.col("__lh")), "left")
-    more = ((F.col(hash_) < F.col("cut")) | F.col("__leaf").isNotNull()).cast("long")
+    cut = F.exists("cuts", lambda c: (F.col(hash_) >= c["low"]) & (F.col(hash_) <= c["last"]) & (F.col(size) <= c["most"]))
+    more = (cut | F.col("__leaf").isNotNull()).cast("long")
     copies = F.when(F.col(size) > 0, F.coalesce(F.col("passes") + more, F.lit(0))).otherwise(0)
-    return out.withColumn("__copies", copies).drop("__p", "__lp", "__lh", "__leaf", "passes", "cut")
+    return out.withColumn("__copies", copies).drop("__p", "__lp", "__lh", "__leaf", "passes", "cuts")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", members: Column | None = None, seed: int = SEED, **how) -> DataFrame:

@@ -137,6 +137,20 @@ def test_last_documents_fill_the_rest():
                 assert left - sum(size[h] for h in got) <= 2
 
 
+def test_mix_goes_on_past_documents_that_do_not_fit(spark):
+    """Very long documents lie among many short ones; what is left is less than any document left out."""
+    sizes = {i: 500 if i % 40 else 200_000 for i in range(1, 500)} | {i: 3 + i % 7 for i in range(1000, 6000)} | {9000 + i: 30_000 for i in range(4)}
+    rows = [(i, "w " * n, "a" if i < 1000 else "b") for i, n in sizes.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        out = mixing.mix(docs, seed=seed).collect()
+        assert {r["doc_id"]: r["size"] for r in out} == sizes
+        for a in (True, False):
+            mine = [r for r in out if (r["doc_id"] < 1000) == a]
+            left, once = mine[0]["target"] - sum(r["taken"] for r in mine), min(r["copies"] for r in mine)
+            assert -1 < left < min(r["size"] for r in mine if r["copies"] == once), (seed, a, left)
+
+
 def test_flow_over_overlapping_sources():
     """Shared documents go where they are needed; repeats only once single passes are used up."""
     flows = mixing.route({("a",): 100, ("b",): 50, ("a", "b"): 60}, {"a": 120, "b": 90})
