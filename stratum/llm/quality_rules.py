@@ -41,7 +41,7 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     gone = lambda chars: F.length(t) - F.length(F.translate(col(t), chars, ""))
     has_word = lambda x: F.length(F.trim(x, F.lit(SPACE))) > 0
     out = df.withColumn(t, F.coalesce(F.trim(col(f"`{text}`"), F.lit(SPACE)), F.lit("")))
-    out = out.withColumns({w: F.when(col(t) == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_CLASS, -1)), lines: F.filter(F.split(t, "\n", -1), has_word)})
+    out = out.withColumns({w: F.when(col(t) == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_CLASS, -1)), lines: F.filter(F.split(F.coalesce(col(f"`{text}`"), F.lit("")), "\n", -1), has_word)})
     # the hash of each window of three words
     out = out.withColumn(h, F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(col(w), i + 1), F.get(col(w), i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0))))
     # (hash, place) in order, only where a window comes twice

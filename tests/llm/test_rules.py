@@ -38,6 +38,13 @@ def test_statistics_match_brute_force(spark):
     assert quality_rules.statistics(df.limit(0), "text").count() == 0
 
 
+def test_lines_keep_white_space_at_the_ends_of_a_text(spark):
+    texts = [" a\na", "a\r\nb\r\na\r\n", "a\r\nb\r\na", "\ta\n\ta\na", "a \nb\na ", "\n\n a\nb\n a\n\n", " \n \n", "a\x0b\na\x0b\x0c\na\x0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS) for r in quality_rules.statistics(df, "text").collect()}
+    assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
+
+
 def test_rules_reject_low_quality_and_keep_the_rest(spark):
     out = queries()["op6_quality_rules"](spark, SF)
     rows = out.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").select("kept", "quality").collect()
