@@ -7,7 +7,7 @@ ordered aggregation. A worker keeps pieces that it has encoded in a bounded cach
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows and ids are encoded row by row;
 a piece of over LONG_PIECE bytes, on which the recursion would be quadratic, goes through the same contraction with a
-heap; other columns pass unchanged.
+heap; queries are cut by the rows that they hold, within a long document too; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ BLOCK_BYTES = 4 << 20
 LONG_PIECE = 192
 #: Pieces that a worker remembers.
 CACHE = 300_000
-#: Pieces and tokens that one query takes.
-SQL_PIECES, SQL_TOKENS = 32_768, 1 << 19
+#: Pieces that one query takes, and their squared bytes: the recursion keeps the rows of every round, half the square of a piece.
+SQL_PIECES, SQL_SQUARES = 32_768, 1 << 23
+#: What one query decodes: bytes of tokens, and TOKEN_BYTES for each token besides.
+SQL_BYTES, TOKEN_BYTES = 12 << 20, 20
 
 _codecs: dict = {}
 
@@ -78,6 +80,8 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m_")
         self.db.register("v_", pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v_")
+        self.cost = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.cost[[*ranks.values()]] = [TOKEN_BYTES + len(t) for t in ranks]
         self.cache: dict[str, bytes] = {}
 
     def _heap(self, piece: bytes) -> list[int]:
@@ -112,8 +116,14 @@ class Codec:
             else:
                 rest.append(p)
                 raw.append(b)
-        for at in range(0, len(rest), SQL_PIECES):
-            self._contract(rest[at : at + SQL_PIECES], raw[at : at + SQL_PIECES])
+        i = 0
+        while i < len(rest):
+            j, n = i, 0
+            while j < len(rest) and j - i < SQL_PIECES and (j == i or n + len(raw[j]) ** 2 <= SQL_SQUARES):
+                n += len(raw[j]) ** 2
+                j += 1
+            self._contract(rest[i:j], raw[i:j])
+            i = j
 
     def _contract(self, rest: list[str], raw: list[bytes]) -> None:
         """Encodes pieces by the recursive query."""
@@ -155,16 +165,29 @@ class Codec:
         return out
 
     def decode_all(self, ids: list[bytes]) -> list[bytes]:
-        """decode() in rounds of about SQL_TOKENS tokens."""
-        out, i = [], 0
-        while i < len(ids):
-            j, n = i, 0
-            while j < len(ids) and (j == i or n + len(ids[j]) <= 4 * SQL_TOKENS):
-                n += len(ids[j])
-                j += 1
-            out += self.decode(ids[i:j])
-            i = j
-        return out
+        """decode() in rounds of about SQL_BYTES; a long document is spread over several, as its bytes concatenate."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        held: list[tuple[int, bytes]] = []
+        room = SQL_BYTES
+
+        def flush() -> None:
+            for (d, _), b in zip(held, self.decode([b for _, b in held]), strict=True):
+                out[d].append(b)
+            held.clear()
+
+        for d, b in enumerate(ids):
+            at, cost = 0, np.concatenate(([0], np.cumsum(self.cost.take(np.frombuffer(b, np.int32), mode="clip"))))
+            while at + 1 < len(cost):
+                end = int(np.searchsorted(cost, cost[at] + room, "right")) - 1
+                if end == at and held:
+                    flush()
+                    room = SQL_BYTES
+                    continue
+                end = max(end, at + 1)
+                held.append((d, b[4 * at : 4 * end]))
+                room, at = max(0, room - int(cost[end] - cost[at])), end
+        flush()
+        return [b"".join(x) for x in out]
 
 
 def codec(path: str, pattern: str) -> Codec:

@@ -48,6 +48,19 @@ def test_bpe_heap_and_sql_agree():
         c.decode([u32([len(c.ranks) + 5])])
 
 
+def test_bpe_rounds_fit_the_memory_of_a_query():
+    """Many long pieces, a document of many tokens, and one of the longest token."""
+    c = codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rng = np.random.default_rng(4)
+    pieces = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (8000, 100))]
+    c.cache.clear()
+    assert c.encode([" ".join(pieces)]) == [b"".join(u32(c._heap(p.encode())) for p in [pieces[0], *(" " + p for p in pieces[1:])])]
+    longest = max(c.ranks, key=len)
+    ids = [u32([]), u32(rng.integers(0, len(c.ranks), 5_000_000)), u32([7]), u32([c.ranks[longest]] * 700_000), u32([])]
+    chars = {k: t for t, k in c.ranks.items()}
+    assert [hashlib.sha256(x).digest() for x in c.decode_all(ids)] == [hashlib.sha256(b"".join(map(chars.__getitem__, np.frombuffer(b, np.uint32).tolist()))).digest() for b in ids]
+
+
 def brute_tokens(rows):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     start, out = 0, []
