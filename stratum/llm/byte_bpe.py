@@ -1,63 +1,100 @@
 """Byte-level BPE by recursive SQL: DuckDB contracts token rows inside each partition.
 
-A text is split by the tokenizer's pattern. Each distinct piece of a batch becomes rows (piece, position, token), one for
-each byte; a recursive query joins neighbours to the merge table and contracts, in every round, each piece's leftmost
-pair of least rank, until no pair merges. Decoding joins token rows to the vocabulary and concatenates them by an
-ordered aggregation. A worker keeps pieces that it has encoded in a bounded cache.
+A text is split by the tokenizer's pattern. Each distinct piece of a batch becomes rows (piece, position, token, next
+token), one for each byte, which are joined to the merge table; from then on a piece is one row with its tokens and the
+ranks of their pairs. Every round of a recursive query contracts each piece's leftmost pair of least rank and joins the
+two pairs that this makes to the merge table, until no pair merges. Pieces of over LONG_PIECE bytes, of which all rounds
+together would not fit, keep their token rows in a table that each round replaces; there a round contracts, besides the
+least pair, all pairs that no other can reach before their turn (see _ROUND). Decoding joins token rows to the
+vocabulary and concatenates them by an ordered aggregation. A worker keeps pieces that it has encoded in a bounded cache.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows and ids are encoded row by row;
-a piece of over LONG_PIECE bytes, on which the recursion would be quadratic, goes through the same contraction with a
-heap; queries are cut by the rows that they hold, within a long document too; other columns pass unchanged.
+pieces of any length go through SQL; queries are cut by the rows that they hold, within a long document too; other
+columns pass unchanged.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import alone
+from .common import Generations, alone
 
 #: Bytes of text that one round of SQL takes.
 BLOCK_BYTES = 4 << 20
-#: Pieces over so many bytes are contracted with a heap.
-LONG_PIECE = 192
-#: Pieces that a worker remembers.
-CACHE = 300_000
+#: Pieces over so many bytes are contracted one by one.
+LONG_PIECE = 1023
+#: Pieces of a generation that a worker remembers.
+CACHE = 250_000
 #: Pieces that one query takes, and their squared bytes: the recursion keeps the rows of every round, half the square of a piece.
 SQL_PIECES, SQL_SQUARES = 32_768, 1 << 23
 #: What one query decodes: bytes of tokens, and TOKEN_BYTES for each token besides.
 SQL_BYTES, TOKEN_BYTES = 12 << 20, 20
+#: What a query may hold at least, and for each byte of a long piece.
+MEMORY, MEMORY_BYTE = 256 << 20, 400
 
 _codecs: dict = {}
 
-#: A row's key is piece * 256 + position. One round: neighbours that merge, each piece's least (rank, key), the contraction.
-_ENCODE = """
-WITH RECURSIVE s AS (
-    SELECT key, tok, 0 AS step FROM bytes_of_words
+#: The rank of a pair that does not merge.
+_NO = 2**31 - 1
+#: A key is piece * 1024 + position. A piece is a list of cells: rank of the pair with the next token, first position,
+#: token; so the least cell is the leftmost pair of least rank.
+_ENCODE = f"""
+WITH RECURSIVE s(word, cells) AS (
+    SELECT word, list_transform(cells, lambda x: ((x & {_NO}) << 32) + (x >> 31))
+    FROM (SELECT key >> 10 AS word, list_sort(list(((key & 1023) << 47) + (tok::BIGINT << 31) + coalesce(rank, {_NO}))) AS cells
+          FROM token_rows t LEFT JOIN merges m ON m.l = t.tok AND m.r = t.after GROUP BY 1)
     UNION ALL
-    (WITH a AS MATERIALIZED (
-         SELECT key, tok, step, lead(tok) OVER w AS after, lead(key) OVER w AS after_key, lag(key) OVER w AS before_key
-         FROM s WINDOW w AS (ORDER BY key)),
-     b AS MATERIALIZED (
-         SELECT a.key >> 8 AS word, min((m.rank::BIGINT << 32) + a.key) AS best
-         FROM a JOIN merges m ON m.l = a.tok AND m.r = a.after AND a.after_key >> 8 = a.key >> 8 GROUP BY 1)
-     SELECT key, CASE WHEN key = best & 4294967295 THEN (best >> 32)::INTEGER ELSE tok END, step + 1
-     FROM a JOIN b ON b.word = a.key >> 8
-     WHERE before_key IS NULL OR before_key <> best & 4294967295)
+    SELECT word, list_concat(cells[:greatest(p - 2, 0)], CASE WHEN p > 1 THEN [(coalesce(x.rank, {_NO})::BIGINT << 32) + (cells[p - 1] & 4294967295)] ELSE [] END,
+                             [(coalesce(y.rank, {_NO})::BIGINT << 32) + (best & 4294901760) + (best >> 32)], cells[p + 2:])
+    FROM (SELECT word, cells, best, list_position(cells, best) AS p FROM (SELECT word, cells, list_min(cells) AS best FROM s) WHERE best >> 32 < {_NO}) a
+    LEFT JOIN merges x ON x.l = cells[p - 1] & 65535 AND x.r = best >> 32
+    LEFT JOIN merges y ON y.l = best >> 32 AND y.r = cells[p + 2] & 65535
 )
-SELECT (key >> 8)::INTEGER AS word, list(tok ORDER BY key) AS ids
-FROM s SEMI JOIN (SELECT key >> 8 AS w, max(step) AS step FROM s GROUP BY 1) e ON e.w = s.key >> 8 AND e.step = s.step
-GROUP BY 1
+SELECT word, list_transform(cells, lambda x: (x & 65535)::INTEGER) AS ids FROM s WHERE list_min(cells) >> 32 = {_NO}
 """
 
+#: One round of a long piece, whose rows are long_piece (i, tok, rank of the pair with the next row).
+#: A pair of rank r may go before its turn if no smaller rank lies within REACH tokens of it, where no token has more
+#: than REACH bytes: whatever merges earlier farther away would have to grow over all of them to touch it. In a run of
+#: equal ranks, every second pair from its start goes, if that holds for the start as well. What such pairs make must
+#: not have a smaller rank itself, or it would come too early: either no pair with the new token has (early), or not its
+#: pairs with the neighbours and itself; a pair for which that fails counts as smaller than r (level). The least pair of
+#: all, the leftmost of several, can always go.
+_ROUND = f"""
+CREATE OR REPLACE TABLE long_piece AS
+WITH n AS (
+    SELECT i, tok, rank, lag(rank) OVER o IS DISTINCT FROM rank AS opens, lag(tok) OVER o AS left_tok, lead(tok, 2) OVER o AS right_tok
+    FROM long_piece WINDOW o AS (ORDER BY i)),
+l AS (
+    SELECT n.i, n.tok, n.rank, opens, 2 * n.rank::BIGINT - (NOT early AND (twice OR coalesce(x.rank, {_NO}) <= n.rank OR coalesce(y.rank, {_NO}) <= n.rank))::INTEGER AS level
+    FROM n LEFT JOIN near_ids ON id = n.rank
+    LEFT JOIN near x ON x.l = left_tok AND x.r = n.rank LEFT JOIN near y ON y.l = n.rank AND y.r = right_tok),
+a AS (
+    SELECT i, tok, rank, opens, min(coalesce(level, 2 * rank::BIGINT)) OVER (ORDER BY i ROWS BETWEEN $reach PRECEDING AND CURRENT ROW) AS before,
+           min(coalesce(level, 2 * rank::BIGINT)) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND $reach FOLLOWING) AS behind
+    FROM l),
+b AS (
+    SELECT a.*, max(CASE WHEN opens THEN i END) OVER o AS first, max(CASE WHEN opens AND before >= 2 * rank::BIGINT THEN i END) OVER o AS sure
+    FROM a WINDOW o AS (ORDER BY i ROWS UNBOUNDED PRECEDING)),
+c AS (
+    SELECT i, tok, rank, rank < {_NO} AND (i = $least OR before >= 2 * rank::BIGINT AND behind >= 2 * rank::BIGINT AND first = sure AND (i - first) % 2 = 0) AS goes
+    FROM b),
+d AS (SELECT i, CASE WHEN goes THEN rank ELSE tok END AS tok, lag(goes) OVER (ORDER BY i) AS gone FROM c),
+e AS (SELECT i, tok, lead(tok) OVER (ORDER BY i) AS after FROM d WHERE gone IS NOT TRUE)
+SELECT row_number() OVER (ORDER BY i) AS i, tok, coalesce(m.rank, {_NO}) AS rank FROM e LEFT JOIN near m ON m.l = tok AND m.r = after
+"""
+
+#: The connection has one thread, so rows reach the aggregate in the order of the subquery; ORDER BY within it sorts
+#: each group by itself, at four times the cost.
 _DECODE = """
-SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars
-FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc
+SELECT doc, string_agg(chars, '') AS chars
+FROM (SELECT doc, chars FROM tokens t JOIN vocabulary v ON v.id = t.id ORDER BY pos) GROUP BY doc
 """
 
 
@@ -68,43 +105,32 @@ class Codec:
         import duckdb
         import regex
 
+        if max(ranks.values()) > 65535:
+            raise ValueError("a vocabulary may have 65,536 ids at most")
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         pairs = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else [pa.array([], pa.int32())] * 3
-        self.merge = {(a, b): k for a, b, k in pairs}
         self.one = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if self.one.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
-        self.db.register("m_", pa.table({"l": left, "r": right, "rank": rank}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m_")
-        self.db.register("v_", pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v_")
+        self.reach = max(map(len, ranks))
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
+        self._table("merges", {"l": left, "r": right, "rank": rank})
+        # tokens with a merge of smaller rank, and those that have it with themselves
+        twice = {a for a, b, k in pairs if a == b and k < a}
+        late = {x for a, b, k in pairs for x in (a, b) if k < x}
+        self._table("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks]), "early": pa.array([k not in late for k in ranks.values()]), "twice": pa.array([k in twice for k in ranks.values()])})
         self.cost = np.zeros(max(ranks.values()) + 1, np.int64)
         self.cost[[*ranks.values()]] = [TOKEN_BYTES + len(t) for t in ranks]
-        self.cache: dict[str, bytes] = {}
-
-    def _heap(self, piece: bytes) -> list[int]:
-        tok, n = self.one[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        todo = [(k, i, i + 1) for i in range(n - 1) if (k := self.merge.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(todo)
-        while todo:
-            k, i, j = heapq.heappop(todo)
-            if tok[i] < 0 or after[i] != j or j >= n or self.merge.get((tok[i], tok[j])) != k:
-                continue
-            tok[i], tok[j], after[i] = k, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.merge.get((tok[x], tok[y]))) is not None:
-                    heapq.heappush(todo, (r, x, y))
-        return [t for t in tok if t >= 0]
+        self.cache = Generations()
+
+    def _table(self, name: str, columns: dict) -> None:
+        self.db.register("given", pa.table(columns))
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces into the cache."""
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
         rest: list[str] = []
         raw: list[bytes] = []
         for p in pieces:
@@ -112,7 +138,7 @@ class Codec:
             if (k := self.ranks.get(b)) is not None:
                 self.cache[p] = np.int32(k).tobytes()
             elif len(b) > LONG_PIECE:
-                self.cache[p] = np.array(self._heap(b), np.int32).tobytes()
+                self.cache[p] = self._contract_long(b)
             else:
                 rest.append(p)
                 raw.append(b)
@@ -125,28 +151,53 @@ class Codec:
             self._contract(rest[i:j], raw[i:j])
             i = j
 
+    def _rows(self, raw: list[bytes]) -> dict:
+        """Token rows of single bytes: key, tok and after (-1 at a piece's end)."""
+        size = np.array([len(b) for b in raw])
+        end = np.cumsum(size)
+        tok = self.one[np.frombuffer(b"".join(raw), np.uint8)]
+        after = np.append(tok[1:], np.int32(-1))
+        after[end - 1] = -1
+        return {"key": np.repeat(np.arange(len(raw)) * 1024 - end + size, size) + np.arange(len(tok)), "tok": tok, "after": after}
+
     def _contract(self, rest: list[str], raw: list[bytes]) -> None:
         """Encodes pieces by the recursive query."""
-        size = np.array([len(b) for b in raw])
-        start = np.cumsum(size) - size
-        key = np.repeat(np.arange(len(raw)) * 256 - start, size) + np.arange(size.sum())
-        self.db.register("bytes_of_words", pa.table({"key": key, "tok": self.one[np.frombuffer(b"".join(raw), np.uint8)]}))
+        self.db.register("token_rows", pa.table(self._rows(raw)))
         got = self.db.sql(_ENCODE).to_arrow_table().combine_chunks()
-        self.db.unregister("bytes_of_words")
+        self.db.unregister("token_rows")
         ids = got["ids"].combine_chunks()
         flat, at = ids.flatten().to_numpy().astype(np.int32), ids.offsets.to_numpy()
         for i, w in enumerate(got["word"].to_pylist()):
             self.cache[rest[w]] = flat[at[i] : at[i + 1]].tobytes()
 
+    def _contract_long(self, raw: bytes) -> bytes:
+        """Encodes one piece of any length, round by round."""
+        self.db.execute(f"SET memory_limit = '{max(MEMORY, MEMORY_BYTE * len(raw))}B'")
+        self.db.register("token_rows", pa.table(self._rows([raw])))
+        # only merges whose token occurs in the piece can ever happen
+        self.db.execute("CREATE OR REPLACE TABLE near_ids AS SELECT id, early, twice FROM vocabulary WHERE contains(?::VARCHAR, chars)", [raw.decode("latin-1")])
+        self.db.execute("CREATE OR REPLACE TABLE near AS SELECT m.* FROM merges m SEMI JOIN near_ids ON id = rank")
+        self.db.execute(f"CREATE OR REPLACE TABLE long_piece AS SELECT key AS i, tok, coalesce(rank, {_NO}) AS rank FROM token_rows t LEFT JOIN near m ON m.l = t.tok AND m.r = t.after")
+        self.db.unregister("token_rows")
+        while True:
+            rank, least = self.db.execute("SELECT min(rank), arg_min(i, (rank, i)) FROM long_piece").fetchone()
+            if rank == _NO:
+                break
+            self.db.execute(_ROUND, {"reach": self.reach, "least": least})
+        out = self.db.execute("SELECT tok FROM long_piece ORDER BY i").fetchnumpy()["tok"].astype(np.int32).tobytes()
+        for name in ("long_piece", "near", "near_ids"):
+            self.db.execute(f"DROP TABLE {name}")
+        self.db.execute(f"SET memory_limit = '{MEMORY}B'")
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(t) for t in texts]
-        new = {p for words in split for p in words if p not in self.cache}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = {p for words in split for p in words}
-        self.learn(sorted(new))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        known = self.cache
+        if len(known) > CACHE:
+            known.turn()
+        self.learn(sorted(known.unknown(set(chain.from_iterable(split)))))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each id array."""

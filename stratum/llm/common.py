@@ -109,6 +109,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Generations(dict):
+    """A worker's cache in two generations: what is used again outlives a turn."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def unknown(self, keys: set) -> set:
+        return keys.difference(self).difference(self.old)
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 def grouped(batches, names: list[str]):
     """(values of names, table) of each run of equal long columns names in a stream of Arrow batches."""
     import pyarrow as pa

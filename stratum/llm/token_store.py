@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, filesystem, hidden, new_path
+from .common import Generations, alone, filesystem, hidden, new_path
 
 MAGIC, TAIL = b"TOKZST01", b"TOKZEND1"
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1_000, 8_192, 64 << 10
@@ -51,25 +51,6 @@ _CONTROLS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\r]+")
 
 
-class _Chunks(dict):
-    """Ids by chunk, in two generations: what is used again outlives a turn of the cache."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = self.old[chunk]
-        return ids
-
-    def unknown(self, chunks: set[str]) -> set[str]:
-        return chunks.difference(self).difference(self.old)
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-
 class Tokenizer:
     """A tokenizers file whose splits never cross white space, with a cache of chunks.
 
@@ -83,7 +64,7 @@ class Tokenizer:
 
         self.lib = Library.from_file(path)
         self.lib.encode_special_tokens = False
-        self.cache = _Chunks()
+        self.cache = Generations()
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = "ab, cd\n ef\t\r gh"
         self.splits = [*ids(probe)] == [i for c in probe.split() for i in ids(c)]

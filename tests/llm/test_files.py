@@ -25,11 +25,14 @@ def u32(ids):
     return np.array(ids, np.uint32).tobytes()
 
 
-def test_bpe_matches_tiktoken(spark):
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    with open(path, "rb") as f:
+def reference():
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_tiktoken(spark):
+    path, ref = P.path("byte_bpe_multi_50k.tiktoken"), reference()
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, ""), (None, "the same"), (None, "the same")]
     rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -39,22 +42,41 @@ def test_bpe_matches_tiktoken(spark):
     assert encode_decode(df.limit(0), "text", path, P.PATTERN).count() == 0
 
 
-def test_bpe_heap_and_sql_agree():
-    c = codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    words = ["thetheth" * 20, "éèêëé" * 10, "zzzzzzzzzzzz", "internationalization", "aaaaaaaaaaaaaaaa"]
+def _word(rng, letters: str, n: int) -> str:
+    return "".join(rng.choice(list(letters), n))
+
+
+def test_bpe_of_long_pieces():
+    """Pieces around and far over LONG_PIECE: runs, periods, few letters, many letters, letters of real text."""
+    c, ref, rng = codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), reference(), np.random.default_rng(2)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 100_000, "ab" * 2000, "aab" * 900 + "b", "-" * 3001, " " * 2500 + "x", _word(rng, "ACGT", 1500), _word(rng, low, 1022), _word(rng, low, 1023), _word(rng, low, 1024), _word(rng, low, 2500), _word(rng, "etaoin", 1500), _word(rng, "theandingr", 1500), _word(rng, "的一是不了人我在有他", 700)]
     c.cache.clear()
-    assert c.encode(words) == [u32(c._heap(w.encode())) for w in words]
+    for t in texts:
+        assert c.encode([t]) == [u32(ref.encode_ordinary(t))], t[:20]
     with pytest.raises(ValueError):
         c.decode([u32([len(c.ranks) + 5])])
 
 
+@pytest.mark.parametrize(("words", "letters"), [(3000, 150), (12_000, 60), (30_000, 40)])
+def test_bpe_of_many_long_words(spark, words, letters):
+    """Words that no vocabulary holds, within one document and spread over many."""
+    ref, rng = reference(), np.random.default_rng(words)
+    own = [_word(rng, "abcdefghijklmnopqrstuvwxyz", letters) for _ in range(words)]
+    texts = [" ".join(own), *(" ".join(own[i::8]) for i in range(8))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r for r in encode_decode(df, "text", P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert bytes(out[i]["ids"]) == u32(ref.encode_ordinary(t)) and bytes(out[i]["decoded"]) == t.encode()
+
+
 def test_bpe_rounds_fit_the_memory_of_a_query():
     """Many long pieces, a document of many tokens, and one of the longest token."""
     c = codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     rng = np.random.default_rng(4)
-    pieces = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (8000, 100))]
+    text = " ".join("".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (8000, 100)))
     c.cache.clear()
-    assert c.encode([" ".join(pieces)]) == [b"".join(u32(c._heap(p.encode())) for p in [pieces[0], *(" " + p for p in pieces[1:])])]
+    assert c.encode([text]) == [u32(reference().encode_ordinary(text))]
     longest = max(c.ranks, key=len)
     ids = [u32([]), u32(rng.integers(0, len(c.ranks), 5_000_000)), u32([7]), u32([c.ranks[longest]] * 700_000), u32([])]
     chars = {k: t for t, k in c.ranks.items()}
