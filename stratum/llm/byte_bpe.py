@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Generations, alone
+from .common import Generations, cached
 
 #: Bytes of text that one round of SQL takes.
 BLOCK_BYTES = 4 << 20
@@ -243,7 +243,6 @@ class Codec:
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, one for each worker."""
-    alone("byte_bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -270,13 +269,14 @@ def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str =
     keep = [c for c in df.columns if c not in (text, ids, decoded)]
 
     def run(batches):
-        c = codec(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for i, j in _blocks(texts):
-                enc = c.encode(texts[i:j])
-                dec = c.decode_all(enc)
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(keep))] + [pa.array(enc, pa.binary()), pa.array(dec, pa.binary())], names=[*keep, ids, decoded])
+        with cached("byte_bpe", _codecs.clear):
+            c = codec(path, pattern)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+                for i, j in _blocks(texts):
+                    enc = c.encode(texts[i:j])
+                    dec = c.decode_all(enc)
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(keep))] + [pa.array(enc, pa.binary()), pa.array(dec, pa.binary())], names=[*keep, ids, decoded])
 
     src = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"])
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 import weakref
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,11 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+#: Seconds without a task after which a worker lets its caches go.
+IDLE_S = 1.5
+
 _caches: dict = {}
+_lock, _turn = threading.Lock(), 0
 
 _made: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -157,17 +163,39 @@ def bound(df: DataFrame, name: str, value) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def alone(name: str, clear) -> None:
-    """To be called where an operator's worker cache is used: workers outlive a stage, and what other operators keep in this one goes."""
-    others = [k for k in _caches if k != name]
-    for k in others:
-        _caches.pop(k)()
-    _caches[name] = clear
-    if others:
-        import ctypes
-        import gc
-
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+@contextmanager
+def cached(name: str, clear):
+    """Around a task that uses a worker's cache. Workers outlive a stage: what other operators keep in this one goes at
+    once, and what this one keeps goes once the worker has had no task for IDLE_S, as the stages that follow may need
+    the machine's memory for the JVM."""
+    global _turn
+    with _lock:
+        _turn += 1
+        others = [_caches.pop(k) for k in list(_caches) if k != name]
+        _caches[name] = clear
+        if others:
+            _release(others)
+    try:
+        yield
+    finally:
+        with _lock:
+            timer = threading.Timer(IDLE_S, _rest, [_turn])
+        timer.daemon = True
+        timer.start()
+
+
+def _rest(turn: int) -> None:
+    with _lock:
+        if turn == _turn:
+            _release([_caches.pop(k) for k in list(_caches)])
+
+
+def _release(clears: list) -> None:
+    import ctypes
+    import gc
+
+    for clear in clears:
+        clear()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, grouped, mix64, written
+from .common import cached, grouped, mix64, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -115,20 +115,20 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), node (fingerprint of the set), signature and bands of docs (doc_id, text)."""
 
     def run(batches):
-        alone("minhash", _words.clear)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                sets = [shingles(t) for t in texts[i : i + 512]]
-                full = [k for k, s in enumerate(sets) if len(s)]
-                node, sig, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-                if full:
-                    m = minima([sets[k] for k in full])
-                    keys = band_keys(m)
-                    byte = np.ascontiguousarray(((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T)
-                    for r, k in enumerate(full):
-                        node[k], sig[k], bands[k] = _fingerprint(sets[k]), byte[r].tobytes(), keys[r].tolist()
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "signature", "bands"])
+        with cached("minhash", _words.clear):
+            for batch in batches:
+                ids, texts = batch.column(0), batch.column(1).to_pylist()
+                for i in range(0, len(texts), 512):
+                    sets = [shingles(t) for t in texts[i : i + 512]]
+                    full = [k for k, s in enumerate(sets) if len(s)]
+                    node, sig, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                    if full:
+                        m = minima([sets[k] for k in full])
+                        keys = band_keys(m)
+                        byte = np.ascontiguousarray(((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T)
+                        for r, k in enumerate(full):
+                            node[k], sig[k], bands[k] = _fingerprint(sets[k]), byte[r].tobytes(), keys[r].tolist()
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "signature", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, signature binary, bands array<long>")
 
@@ -219,12 +219,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     """node and members (its set's sorted hashes) of docs (doc_id, text)."""
 
     def run(batches):
-        alone("minhash", _words.clear)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                s = [x for t in texts[i : i + 256] if len(x := shingles(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "members"])
+        with cached("minhash", _words.clear):
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for i in range(0, len(texts), 256):
+                    s = [x for t in texts[i : i + 256] if len(x := shingles(t))]
+                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["node", "members"])
 
     return docs.mapInArrow(run, "node long, members binary")
 

@@ -103,11 +103,10 @@ def _all(columns) -> Column:
     return out
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """Statistics of labelled documents with their label, as a table in the shared folder."""
-    d = statistics(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text").drop("text")
+def labelled(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """A table of statistics (with doc_id) of labelled documents with their label, in the shared folder."""
     lab = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("label is not null")
-    return written(d.join(lab, "doc_id"), "labelled")
+    return written(stats.select("doc_id", *COUNTS, *MORE).join(lab, "doc_id"), "labelled")
 
 
 def learn(rows: DataFrame) -> list[Rule]:
@@ -202,8 +201,13 @@ def decide(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumn("rule", verdict(rules)).withColumns({"base_failed": F.col("rule") < 0, "kept": F.col("rule") == 0})
 
 
-def keep_documents(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns only, whatever those are called."""
+def passing(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The documents that pass the base rules and the list learned from labels, with their own columns only.
+
+    Statistics are computed once: they are written beside the documents, and learning reads their columns only.
+    """
     row, = hidden([*COUNTS, *MORE, "text"], "row")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(f"`{text}`").alias("text"))
-    return decide(statistics(packed, "text"), rules).where("kept").select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+    rows = written(statistics(packed, "text").drop("text"), "statistics")
+    rules = learn(labelled(rows.withColumn("doc_id", F.col(row).getField(doc_id)).drop(row), labels, doc_id, label))
+    return decide(rows, rules).where("kept").select(*[F.col(row).getField(c).alias(c) for c in docs.columns])

@@ -76,12 +76,11 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import decide, learn, statistics
+    from .quality_rules import decide, labelled, learn, statistics
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = written(statistics(docs, "text").drop("text"), "statistics")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("label is not null")
-    rules = learn(written(stats.join(labels, "doc_id"), "labelled"))
+    rules = learn(labelled(stats, table(spark, sf_dir, "labels")))
     return decide(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 

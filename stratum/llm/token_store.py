@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Generations, alone, filesystem, hidden, new_path
+from .common import Generations, cached, filesystem, hidden, new_path
 
 MAGIC, TAIL = b"TOKZST01", b"TOKZEND1"
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1_000, 8_192, 64 << 10
@@ -120,7 +120,6 @@ class Tokenizer:
 
 
 def tokenizer(path: str) -> Tokenizer:
-    alone("token_store", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer(path)
     return _tokenizers[path]
@@ -215,6 +214,10 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches):
+        with cached("token_store", _tokenizers.clear):
+            yield from write(batches)
+
+    def write(batches):
         tok, out, (fs, folder) = tokenizer(path), None, filesystem(to)
         part, docs, first, name = 0, 0, None, ""
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, crc_fold
+from .common import cached, crc_fold, hidden
 
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 60_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -296,7 +296,6 @@ _scorers: dict = {}
 
 
 def _scorer(shared) -> Scorer:
-    alone("toxicity", _scorers.clear)
     if shared.id not in _scorers:
         _scorers.clear()
         _scorers[shared.id] = Scorer(shared.value)
@@ -335,13 +334,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     n = len(keep)
 
     def run(batches):
-        s = _scorer(shared)
-        for b in batches:
-            p = _scores(s, b.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+        with cached("toxicity", _scorers.clear):
+            s = _scorer(shared)
+            for b in batches:
+                p = _scores(s, b.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(*hidden(keep, "text"))).mapInArrow(run, schema)
 
 
 def keep_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -349,8 +349,9 @@ def keep_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     shared, at = _Shared(docs.sparkSession, model), docs.columns.index(text)
 
     def run(batches):
-        s = _scorer(shared)
-        for b in batches:
-            yield b.filter(pa.array(_scores(s, b.column(at).to_pylist()) < 0.5))
+        with cached("toxicity", _scorers.clear):
+            s = _scorer(shared)
+            for b in batches:
+                yield b.filter(pa.array(_scores(s, b.column(at).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratum.llm import token_store, warc
+from stratum.llm import common, token_store, warc
 from stratum.llm.byte_bpe import codec, encode_decode
 from stratum.llm.common import filesystem
 
@@ -154,3 +155,17 @@ def test_warc_refuses_damage():
             list(warc.read_stream(io.BytesIO(z.compress(bad) + z.flush())))
     with pytest.raises(warc.BadRecord):
         list(warc.members(io.BytesIO(b"not gzip at all")))
+
+
+def test_worker_caches_go_when_a_worker_rests(monkeypatch):
+    monkeypatch.setattr(common, "IDLE_S", 0.2)
+    one, two = {"a": 1}, {"b": 2}
+    with common.cached("one", one.clear):
+        assert one
+    with common.cached("one", one.clear):
+        time.sleep(0.5)
+        assert one  # the worker had not rested for so long
+    with common.cached("two", two.clear):
+        assert two and not one
+    time.sleep(0.5)
+    assert not two

@@ -39,8 +39,8 @@ def test_columns_and_order(stages):
 
 def test_rules_stage(spark, stages):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rules = quality_rules.learn(quality_rules.labelled_statistics(stages[0], labels))
-    stats = quality_rules.statistics(stages[0], "text").collect()
+    table = quality_rules.statistics(stages[0], "text")
+    rules, stats = quality_rules.learn(quality_rules.labelled(table, labels)), table.collect()
     f = lambda r: {"words": r["n_words"], "word_length": 1000 * r["word_chars"] // max(1, r["n_words"]), "symbols": 1000 * r["n_symbols"] // max(1, r["word_chars"]), "dup_lines": 1000 * r["n_dup_lines"] // max(1, r["n_lines"]), "repeats": 1000 * r["n_repeat_words"] // max(1, r["n_words"]), "upper": 1000 * r["n_upper"] // max(1, r["word_chars"]), "marks": 1000 * r["n_marks"] // max(1, r["word_chars"]), "distinct": 1000 * r["n_distinct_words"] // max(1, r["n_words"])}
     hit = lambda c, x: (x[c.feature] >= c.threshold) == c.least
     keep = {r["doc_id"] for r in stats if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"] and not any(all(hit(c, f(r)) for c in rule.conditions) for rule in rules)}

@@ -57,12 +57,11 @@ def test_rules_reject_low_quality_and_keep_the_rest(spark):
 def test_rules_without_labels_and_pushed_filters(spark):
     docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(TEXTS)], "doc_id long, text string, kept boolean")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    rules = quality_rules.learn(quality_rules.labelled_statistics(docs, labels))
-    assert rules == []
-    kept = quality_rules.keep_documents(docs, rules)
+    assert quality_rules.learn(quality_rules.labelled(quality_rules.statistics(docs, "text"), labels)) == []
+    kept = quality_rules.passing(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 0
     long = docs.limit(1).withColumn("text", F.lit(" ".join(f"w{i} v{i}" for i in range(3000))))
-    assert quality_rules.keep_documents(long, rules).count() == 1
+    assert quality_rules.passing(long, labels).count() == 1
 
 
 def auc(score, y):
