@@ -15,9 +15,9 @@ from stratum.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the learned decision list reject."""
-    from stratum.llm.quality_rules import keep_documents, labelled_statistics, learn
+    from stratum.llm.quality_rules import passing
 
-    return keep_documents(docs, learn(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
+    return passing(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
