@@ -5,10 +5,10 @@
 2. Documents that share a key are candidates. First each is compared with the least node of its bucket, which is linear
    however large the bucket; links found give provisional components. Then, in buckets with several components, documents
    of different ones are compared, in blocks of bounded size, each pair in its first shared band only. Pairs within a
-   component need no comparison: they are connected already. A few rounds
-   follow the likeliest link of each component only, which joins large groups before all that is left is compared.
+   component need no comparison: they are connected already. A block returns which nodes it connects, never its pairs.
 3. A comparison reads the signatures in batches of STEP. After each, the pair goes if the posterior probability (uniform
-   prior) that its similarity reaches the threshold is under MISS. Survivors are verified on their full sets.
+   prior) that its similarity reaches the threshold is under MISS. Survivors are verified on their full sets, in a block
+   likeliest first and only if no chain of links connects them yet.
 4. Components of all verified links; a document's is the least id in it.
 
 At similarity 0.85 a pair shares no band with probability (1 - 0.85 ** ROWS) ** BANDS < 1e-6. Nothing is capped: buckets
@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, grouped, mix64, written
+from .common import cached, grouped, hidden, mix64, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, SIGNATURE, STEP, MISS = 24, 5, 512, 64, 1e-6
-#: Rounds that follow the likeliest links only, before the one that looks at all.
-ROUNDS = 3
-#: Members of a side of a block.
-BLOCK = 1024
+#: Members of a side of a block, and shingles of their sets together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Partners of a hub that are verified in one group.
+PARTNERS = 4096
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 
@@ -167,25 +167,25 @@ def _signatures(column) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, nodes: DataFrame, need: list[int]) -> DataFrame:
-    """The plausible ones of pairs (a, b)."""
+    """The plausible ones of pairs (a, b, parts)."""
     s = nodes.select("node", "signature")
-    both = pairs.join(s.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(s.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "parts", "sa", "sb")
 
     def run(batches):
         for x in batches:
             if x.num_rows:
-                alive, _ = plausible(_signatures(x.column(2)), _signatures(x.column(3)), need)
-                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(alive)), x.column(1).take(pa.array(alive))], names=["a", "b"])
+                alive, _ = plausible(_signatures(x.column(3)), _signatures(x.column(4)), need)
+                yield x.select(["a", "b", "parts"]).take(pa.array(alive))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, parts int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    All partners of a node come after its own set, in up to 64 groups; one set of each side is held at a time.
+    All partners of a node come after its own set, in as many groups as parts says; one set of each side is held at a time.
     """
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     hubs = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "members")
     partners = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "members")
     rows = hubs.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -229,10 +229,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, members binary")
 
 
-def _across(rows: DataFrame, need: list[int], likely: int | None = None) -> DataFrame:
-    """Plausible pairs of rows (key, node, label, signature, bands), sorted into blocks by (key, kind, i, j, side).
-
-    With likely, only the best pair of each label in a block, of those in which so many hashes agree.
+def _across(rows: DataFrame, need: list[int], percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of rows (key, kind, i, j, node, label, side, signature, bands, members).
 
     Kind 0 sets the bucket's largest component against the others; kind 1 sets the others against each other, blocks
     i and j of them.
@@ -240,7 +238,7 @@ def _across(rows: DataFrame, need: list[int], likely: int | None = None) -> Data
     rows = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
 
     def block(kind, i, j, key, part):
-        node, label, side, sig, bands = part
+        node, label, side, sig, bands, members = part
         if kind == 0 or i != j:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             p, q = np.repeat(left, len(right)), np.tile(right, len(left))
@@ -248,7 +246,7 @@ def _across(rows: DataFrame, need: list[int], likely: int | None = None) -> Data
             p, q = np.triu_indices(len(node), 1)
         go = label[p] != label[q]
         p, q = p[go], q[go]
-        out = []
+        found = []
         # in pieces, so that memory is bounded
         for at in range(0, len(p), 1 << 16):
             a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
@@ -256,31 +254,40 @@ def _across(rows: DataFrame, need: list[int], likely: int | None = None) -> Data
             a, b = a[alive], b[alive]
             same = bands[a] == bands[b]
             go = bands[a, same.argmax(1)] == key
-            if likely is not None:
-                go &= agree >= likely
-            out.append(np.column_stack([a[go], b[go], agree[go]]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        if likely is not None and len(pairs):
-            labels = np.concatenate([label[pairs[:, 0]], label[pairs[:, 1]]])
-            which = np.tile(np.arange(len(pairs)), 2)
-            order = np.lexsort([which, -pairs[which, 2], labels])
-            first = np.concatenate([[True], labels[order][1:] != labels[order][:-1]])
-            pairs = pairs[np.unique(which[order][first])]
-        return node[pairs[:, :2]]
+            found.append(np.column_stack([a[go], b[go], agree[go]]).astype(np.int32))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int32)
+        root = dict.fromkeys(label.tolist())
+        root = {x: x for x in root}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links, sets = [], {}
+        for a, b, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            if (x := top(label[a])) != (y := top(label[b])):
+                for k in (a, b):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(members[k].as_py(), np.uint64)
+                if similar(sets[a], sets[b], percent):
+                    root[x] = y
+                    links.append((node[a], node[b]))
+        return links
 
     def run(batches):
         for (key, kind, i, j), t in grouped(batches, ["key", "kind", "i", "j"]):
-            part = [t[n].to_numpy() for n in ("node", "label", "side")] + [_signatures(t["signature"]), t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)]
-            pairs = block(kind, i, j, key, part)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            part = [t[n].to_numpy() for n in ("node", "label", "side")] + [_signatures(t["signature"]), t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS), t["members"]]
+            links = block(kind, i, j, key, part)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select("key", "kind", "i", "j", "node", "label", "side", "signature", "bands").mapInArrow(run, "a long, b long")
+    return rows.select("key", "kind", "i", "j", "node", "label", "side", "signature", "bands", "members").mapInArrow(run, "a long, b long")
 
 
 def _blocks(rest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Deals members of unsettled buckets (key, node, label) to blocks; keys: key, top (largest component), n_top, n_other."""
-    many = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    d = rest.join(keys, "key").withColumns({"main": F.col("label") == F.col("top"), "cm": many("n_top"), "cr": many("n_other")})
+    """Deals members of unsettled buckets (key, node, label) to blocks; keys: key, top (largest component), number and shingles of its members and of the others."""
+    many = lambda n, size: F.greatest(F.ceil(F.col(n) / F.lit(BLOCK)), F.ceil(F.col(size) / F.lit(BLOCK_SHINGLES))).cast("int")
+    d = rest.join(keys, "key").withColumns({"main": F.col("label") == F.col("top"), "cm": many("n_top", "size_top"), "cr": many("n_other", "size_other")})
     own = F.when(F.col("main"), F.pmod(F.xxhash64("node"), F.col("cm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("cr"))).cast("int")
     d = d.withColumn("own", own)
     against = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("cr")).otherwise(F.col("cm")) - 1)))
@@ -294,37 +301,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = written(sign(docs), "signed")
-    least = signed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("r"))
-    nodes = written(least.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.signature").alias("signature"), F.col("r.bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    least = signed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "signature", "bands")).alias("r"))
+    nodes = written(least.select("node", *[F.col(f"r.{c}").alias(c) for c in ("doc_id", "n", "signature", "bands")]), "nodes")
+    members = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "buckets")
     shared = written(members.join(buckets, "key"), "members")
     need = least_matches(percent)
 
     some = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id")
     sets = written(_sets(docs.join(some, "doc_id", "left_semi")), "sets")
-    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.ceil(F.max("size") / F.lit(PARTNERS)).cast("int").alias("parts"))
     first = written(verify(prune(stars, nodes, need), sets, percent), "links")
     label = written(components(first), "labels")
 
-    def unsettled(label: DataFrame) -> DataFrame:
-        """Blocks of the buckets whose members are of several components; their least nodes have met all others."""
-        rest = shared.where("size > 2 and node <> least").select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        tally = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-        keys = written(tally.select("key", F.col("m.label").alias("top"), F.col("m.n").alias("n_top"), (F.col("all") - F.col("m.n")).alias("n_other")), "keys")
-        return _blocks(written(rest.join(keys.select("key"), "key", "left_semi"), "rest"), keys).join(nodes.select("node", "signature", "bands"), "node")
-
-    def with_labels(links: DataFrame) -> DataFrame:
-        return links.union(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-
-    for _ in range(ROUNDS):
-        more = written(verify(_across(unsettled(label), need, SIGNATURE * percent // 100).distinct(), sets, percent), "links")
-        if not more.limit(1).count():
-            break
-        label = written(components(with_labels(more)), "labels")
-    second = verify(_across(unsettled(label), need).distinct(), sets, percent)
+    # buckets whose members are of several components; their least nodes have met all others
+    rest = shared.where("size > 2 and node <> least").select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    tally = rest.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    tally = tally.groupBy("key").agg(F.max(F.struct("rows", "n", "label")).alias("m"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    keys = written(tally.select("key", F.col("m.label").alias("top"), F.col("m.rows").alias("n_top"), (F.col("rows") - F.col("m.rows")).alias("n_other"), F.col("m.n").alias("size_top"), (F.col("n") - F.col("m.n")).alias("size_other")), "keys")
+    dealt = _blocks(rest.select("key", "node", "label"), keys)
+    second = _across(dealt.join(nodes.select("node", "signature", "bands").join(sets, "node"), "node"), need, percent)
+    links = second.union(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
 
-    final = components(with_labels(second))
+    final = components(links)
     named = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(ids, "component").select("node", "component_id"), "classes")
@@ -335,9 +334,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one document of each class, and its own columns only."""
+    gone_id, = hidden(docs.columns, "gone")
     found = written(classes(docs, doc_id, text, percent).select("doc_id", "n_shingles", "kept"), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs[f"`{doc_id}`"] == F.col("__gone"), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    out = docs.join(gone, docs[f"`{doc_id}`"] == F.col(gone_id), "left_anti")
     # rows that share an id: only then are rows compared with each other
     if found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count():
         some = out.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id])
