@@ -4,24 +4,27 @@ A file is
 
     header   8 bytes "TOKZST01", the SHA-256 of the dictionary (32 bytes), number of documents (u64)
     frames   one zstandard frame for each document: its ids as little-endian unsigned 32-bit integers
-    index    for each document 8 + 8 + 8 bytes: its number, offset of its frame, first id's place among the file's ids
+    index    for each document 8 + 8 + 8 bytes: its number, offset of its frame, first id's place among the file's ids;
+             the top bit of the last says that the document has no number
     footer   offset of the index (u64), number of ids (u64), 8 bytes "TOKZEND1"
 
 so that one document is read with three small reads. The dictionary lies beside the files as dictionary.zdict; a reader
 refuses a file with another dictionary's hash. The manifest (a Parquet table) lists the files in order with the ids
 before each.
 
-The dictionary is trained on at most TRAIN_DOCS documents, those with the least hash of their text, and at most
-TRAIN_BYTES of each; it only bears on sizes. All documents are written whole.
+The dictionary is trained on at most TRAIN_DOCS documents, those with the least hash of their text: on their whole id
+arrays, or on SLICES slices from all over those of more than TRAIN_BYTES. It only bears on sizes; all documents are
+written whole.
 
 Defined cases: a null text counts as empty; rows of equal (or null) id are adjacent, in the order of their texts, nulls
-first (the least long is taken for a null id); an empty table has one dictionary and no file. Other columns are not stored.
+first; an empty table has one dictionary and no file. Other columns are not stored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import uuid
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import Generations, cached, filesystem, hidden, new_path
 
 MAGIC, TAIL = b"TOKZST01", b"TOKZEND1"
-TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 1_000, 8_192, 64 << 10
-#: The number that stands for a null id.
+TRAIN_DOCS, TRAIN_BYTES, SLICES, DICT_BYTES = 1_000, 8_192, 8, 64 << 10
+#: The bit of a place that says that a document has no number.
 NO_ID = 1 << 63
 #: Chunks (runs without ASCII white space) whose ids a worker remembers.
 CACHE = 500_000
@@ -47,19 +50,27 @@ BLOCK = 1 << 20
 FILE_DOCS = 1 << 20
 
 _tokenizers: dict = {}
-_CONTROLS = "\x1c\x1d\x1e\x1f"
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: All characters with which an ASCII letter can compose lie here.
+_COMBINING = re.compile("[\u0300-\u036f]")
+#: Latin letters, but for the one whose small form is a letter and a mark; others may decompose.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _SPACE = re.compile(r"[ \t\n\r]+")
 
 
 class Tokenizer:
     """A tokenizers file whose splits never cross white space, with a cache of chunks.
 
-    The text is cut at white space, and each distinct chunk goes through the library once. That needs a tokenizer which drops white space; others get whole texts (checked once, by a probe). Where the
-    probe shows that letters are lower-cased and split from a final mark, a chunk of letters shares the ids of its
-    lower-case form, and of that without the mark.
+    The text is cut at white space, and each distinct chunk goes through the library once. That needs a tokenizer which
+    drops white space; others get whole texts (checked once, by a probe). Where the probe shows that ASCII letters are
+    lower-cased and split from marks that follow, texts are lower-cased and cut before those marks as a whole, so that
+    there are fewer distinct chunks. Texts with a combining mark, which might compose with a small letter only, or with
+    an added token in other letters, keep theirs.
     """
 
     def __init__(self, path: str):
+        # a worker is one of many on its machine
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         self.lib = Library.from_file(path)
@@ -68,27 +79,31 @@ class Tokenizer:
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = "ab, cd\n ef\t\r gh"
         self.splits = [*ids(probe)] == [i for c in probe.split() for i in ids(c)]
+        spec = json.loads(self.lib.to_str())
         # tokens that end a word, if the vocabulary says so
-        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
+        suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix and self.splits:
             self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
             for token, k in self.lib.get_vocab().items():
                 self.ends[k] = token.endswith(suffix)
-        self.marks = "".join(m for m in ".,!?" if all(ids(w + m) == [*ids(w.lower()), *ids(m)] for w in ("ab", "Cd", "thing", "QRS", "the")))
-
-    def _learn(self, chunks: set[str]) -> None:
-        known, forms, bases = self.cache, [], set()
-        for c in chunks:
-            base, mark = (c[:-1], c[-1]) if c[-1] in self.marks and c[:-1].isalpha() else (c, "")
-            if self.marks and base.isascii() and base.isalpha():
-                base = base.lower()
-            forms.append((c, base, mark))
-            bases.add(base)
-            if mark:
-                bases.add(mark)
-        new = known.unknown(bases)
-        words = sorted(w for w in new if self.ends is not None and w.isalpha())
+        self.added = [t["content"].encode().lower() for t in spec["added_tokens"]]
+        words = ("ab", "Cd", "thing", "QRS", "the", "é", "Ñ", "я")
+        marks = "".join(m for m in ".,!?" if all(ids(w + m + x) == [*ids(w), *ids(m + x)] for w in words for x in ("", "ab", ".", ",", "'s", "9", " ")))
+        self.lower = all(ids(w) == ids(w.encode().lower().decode()) for w in words)
+        self.cut = re.compile(rf"[{re.escape(marks)}](?<=[{_LETTERS}].)") if marks else None
+
+    def _plain(self, text: str) -> str:
+        """A text of the same ids, with fewer distinct chunks."""
+        if self.lower and not _COMBINING.search(text):
+            low = text.encode().lower()
+            if not any(a in low for a in self.added):
+                text = low.decode()
+        return self.cut.sub(r" \g<0>", text) if self.cut else text
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.cache
+        words = sorted(w for w in new if w.isalpha()) if self.ends is not None else []
         # many words in one text: each is a word to the tokenizer as well, and its last token says so
         texts = [words[i : i + 128] for i in range(0, len(words), 128)]
         for part, e in zip(texts, self.lib.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
@@ -102,15 +117,13 @@ class Tokenizer:
         rest = sorted(known.unknown(new))
         for x, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[x] = array("I", e.ids).tobytes()
-        for c, base, mark in forms:
-            known[c] = known[base] + known[mark] if mark else known[base]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         # split() takes four control characters for white space that a tokenizer does not
-        split = [t.split() if not any(c in t for c in _CONTROLS) else [c for c in _SPACE.split(t) if c] for t in texts]
+        split = [t.split() if not _CONTROL.search(t) else [c for c in _SPACE.split(t) if c] for t in map(self._plain, texts)]
         known = self.cache
         if len(known) > CACHE:
             known.turn()
@@ -138,10 +151,10 @@ class FileWriter:
         self.out, self.at, self.index, self.ids = fs.open_output_stream(path), 48, [], 0
         self.out.write(MAGIC + hashlib.sha256(dictionary).digest() + bytes(8))
 
-    def add(self, doc: int, ids: bytes) -> None:
+    def add(self, doc: int | None, ids: bytes) -> None:
         frame = self.z.compress(ids)
         self.out.write(frame)
-        self.index.append((doc, self.at, self.ids))
+        self.index.append((0, self.at, self.ids | NO_ID) if doc is None else (doc & 0xFFFFFFFFFFFFFFFF, self.at, self.ids))
         self.at += len(frame)
         self.ids += len(ids) // 4
 
@@ -171,10 +184,11 @@ class FileReader:
     def __len__(self) -> int:
         return len(self.index)
 
-    def read(self, k: int) -> tuple[int, int, bytes]:
+    def read(self, k: int) -> tuple[int | None, int, bytes]:
         doc, at, first = (int(x) for x in self.index[k])
         end = int(self.index[k + 1, 1]) if k + 1 < len(self) else self.end
-        return doc, first, self.z.decompress(self.f.read_at(end - at, at))
+        doc = None if first & NO_ID else doc - (doc >> 63 << 64)
+        return doc, first & ~NO_ID, self.z.decompress(self.f.read_at(end - at, at))
 
     def __iter__(self):
         return (self.read(k) for k in range(len(self)))
@@ -188,14 +202,30 @@ def train_dictionary(docs: DataFrame, text: str, path: str, end_id: int) -> byte
     some = docs.where(F.length(t) > 0).withColumn("h", F.xxhash64(t))
     # hashes first, as every task sends its least ones; then only the texts of the least of all
     hashes = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
-    least = some.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min(F.substring(t, 1, TRAIN_BYTES)).alias("t")).collect()
-    samples = [x + struct.pack("<I", end_id) for x in tokenizer(path).encode([r["t"] for r in sorted(least)])]
+    least = some.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min(t).alias("t"))
+
+    def run(batches):
+        with cached("token_store", _tokenizers.clear):
+            for batch in batches:
+                got = [_slices(ids + struct.pack("<I", end_id)) for _, ids in _encoded(tokenizer(path), batch)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["h", "ids"])
+
+    samples = [bytes(r["ids"]) for r in sorted(least.mapInArrow(run, "h long, ids binary").collect())]
     try:
         return z.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 10), samples).as_bytes()
     except z.ZstdError:
         return b""
 
 
+def _slices(ids: bytes) -> bytes:
+    """ids, or slices from all over them."""
+    if len(ids) <= TRAIN_BYTES:
+        return ids
+    size = TRAIN_BYTES // SLICES // 4 * 4
+    starts = [k * (len(ids) - size) // (SLICES - 1) // 4 * 4 for k in range(SLICES)]
+    return b"".join(ids[at : at + size] for at in starts)
+
+
 def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, to: str | None = None) -> str:
     """Writes the ids of all documents, in ascending order of doc_id, to files in a folder; gives the folder.
 
@@ -232,7 +262,7 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int
                 if out is None:
                     name, first, docs = f"{uuid.uuid4().hex}.tok", doc, 0
                     out = FileWriter(fs, f"{folder}/{name}", shared.value)
-                out.add(NO_ID if doc is None else doc & 0xFFFFFFFFFFFFFFFF, ids + end)
+                out.add(doc, ids + end)
                 docs += 1
         if out is not None:
             yield closed()
@@ -293,5 +323,4 @@ def read_tokens(spark: SparkSession, folder_uri: str) -> DataFrame:
 
 def _rows(rows: list) -> pa.RecordBatch:
     doc, start, ids = zip(*rows, strict=True)
-    doc = np.array(doc, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64), mask=doc == NO_ID), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])

@@ -4,7 +4,10 @@ import base64
 import gzip
 import hashlib
 import io
+import re
+import sys
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -95,7 +98,7 @@ def brute_tokens(rows):
 
 
 def test_token_files(spark):
-    rows = [(i * 3 - 5, t) for i, t in enumerate(TEXTS)] + [(None, "x y"), (7, "again"), (7, "Again, again.")]
+    rows = [(i * 3 - 5, t) for i, t in enumerate(TEXTS)] + [(None, "x y"), (-(1 << 63), "the least id"), (7, "again"), (7, "Again, again.")]
     rows += [(r["doc_id"] + 1000, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int").repartition(3)
     folder = token_store.write_tokens(df, "doc_id", "text", P.path("word_bpe_49k.json"), 2)
@@ -116,7 +119,23 @@ def test_token_files(spark):
 def test_chunk_cache_is_exact():
     lib, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_store.Tokenizer(P.path("word_bpe_49k.json"))
     texts = [t for t in TEXTS if t] + ["The THE the. The! é. É, ΣΑΣ. x́. don't. <|endoftext|> <|endoftext|>."]
+    # small letters that compose where capitals do not, added tokens in other letters, marks after anything
+    texts += ["H\u0331ouse J\u030c\u0331 T\u0308. E\u0301.", "A <|EndOfText|> b", "<|STARTOFTEXT|>", "a., B,. C!? ²,x É,é я.Я 9.9 _, it's, x\x1c,y d',s", "İ. ẞ! ǅ? Ω, ﬁ. K, Å! \u0958. क़, ſ.", "a.b,c!d?e ,.!? a ..,!"]
+    assert own.lower and own.cut
     assert own.encode(texts) == [u32(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    rng = np.random.default_rng(8)
+    odd = list("aAbBzZéÉßßſ.,!?'_-#9²٣ \t\n\x0b\x1c\u00a0\u2028\u0301\u0331\u0345ǅΣςİ…<|>") + ["<|endoftext|>", "'s", "'LL", "Ab", "ing"]
+    texts = ["".join(rng.choice(odd, rng.integers(1, 40))) for _ in range(1500)]
+    assert own.encode(texts) == [u32(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_letters_compose_with_common_marks_only():
+    """What lets texts without such marks be lower-cased before they are normalized."""
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1)]
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<") and int(p[0], 16) < 128}
+    assert second and all(token_store._COMBINING.match(chr(c)) for c in second)
+    letters = [chr(c) for c in range(0x300) if re.match(f"[{token_store._LETTERS}]", chr(c))]
+    assert len(letters) > 400 and all(unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha() for c in letters)
 
 
 def test_warc_round_trip(spark):
