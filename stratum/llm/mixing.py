@@ -29,8 +29,8 @@ from .common import hidden, written
 
 WEIGHTS, SHARE, COPIES, SEED = (5, 2, 1), 1.5, 2, 11
 MOST_PATTERNS, CELL, MOST_LEAVES = 20_000, 512, 4096
-#: The last documents of a pattern that are chosen together, and the most words that this looks at.
-TAIL, MOST_TAIL_WORDS = 16, 1 << 22
+#: The last documents of a pattern that are chosen together, and the steps in which their sizes are counted for that.
+TAIL, TAIL_STEPS = 16, 1 << 22
 #: The greatest hash.
 LAST = (1 << 63) - 1
 #: What counts as a word.
@@ -231,24 +231,28 @@ def _fitting(docs: list[tuple[int, int]], left: int) -> list[int]:
         else:
             over.append(d)
     open_: list[tuple[int, int]] = []
-    while taken and len(open_) < TAIL and left + taken[-1][1] <= MOST_TAIL_WORDS:
+    while taken and len(open_) < TAIL:
         open_.append(taken.pop())
         left += open_[-1][1]
-    # what was taken comes first, so that the choice leaves no more than before
+    # what was taken comes first; sizes are rounded up to steps, so that what is chosen fits
     open_ += [d for d in over if d[1] <= left][: 4 * TAIL - len(open_)]
-    out = [h for h, _ in taken]
-    if not open_:
-        return out
-    # bit k of a row: k words can be reached with the documents so far
-    rows, mask = [1], (1 << (left + 1)) - 1
+    step = -(-left // TAIL_STEPS) or 1
+    # bit k of a row: k steps can be reached with the documents so far
+    rows, mask = [1], (1 << (left // step + 1)) - 1
     for _, size in open_:
-        rows.append((rows[-1] | rows[-1] << size) & mask)
-    at = rows[-1].bit_length() - 1
+        rows.append((rows[-1] | rows[-1] << -(-size // step)) & mask)
+    at, chosen = rows[-1].bit_length() - 1, set()
     for k in range(len(open_), 0, -1):
         if not rows[k - 1] >> at & 1:
-            out.append(open_[k - 1][0])
-            at -= open_[k - 1][1]
-    return out
+            chosen.add(open_[k - 1][0])
+            at -= -(-open_[k - 1][1] // step)
+    left -= sum(size for h, size in open_ if h in chosen)
+    # whatever still fits, so that what is left is less than any document that is left out
+    for h, size in sorted([d for d in {*open_, *over} if d[0] not in chosen]):
+        if size <= left:
+            left -= size
+            chosen.add(h)
+    return [h for h, _ in taken] + sorted(chosen)
 
 
 def decide(df: DataFrame, plan: Plan, names: list[str]) -> DataFrame:

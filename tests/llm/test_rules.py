@@ -139,8 +139,16 @@ def test_last_documents_fill_the_rest():
         for left in (0, 10, 700, 20_000):
             got = mixing._fitting(docs, left)
             assert len(got) == len(set(got)) and sum(size[h] for h in got) <= left
+            rest = left - sum(size[h] for h in got)
+            assert all(size[h] > rest for h in size if h not in got)
             if n == 100 and left >= 20_000:
-                assert left - sum(size[h] for h in got) <= 2
+                assert rest <= 2
+    # sizes far beyond the steps in which they are counted
+    docs = [(h, int(s)) for h, s in enumerate(rng.integers(10**8, 10**10, 200))]
+    size = dict(docs)
+    got = mixing._fitting(docs, 5 * 10**11)
+    rest = 5 * 10**11 - sum(size[h] for h in got)
+    assert 0 <= rest < 10**6 and len(got) == len(set(got))
 
 
 def test_mix_goes_on_past_documents_that_do_not_fit(spark):
