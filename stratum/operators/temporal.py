@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Containment, TemporalSpec
-from ..functions.columns import period_overlaps
+from ..functions.columns import period_overlaps, unused
 
 
 def _end(t: TemporalSpec) -> Column | None:
@@ -61,33 +61,66 @@ def compare(df: DataFrame, t: TemporalSpec, key: str, first, second, values: lis
     return both.withColumn("has_changes", ~same)
 
 
-def overlaps(df: DataFrame, t: TemporalSpec, key: str, ident: str) -> DataFrame:
+def _units(start: Column, end: Column, unit: str) -> Column:
+    """The calendar units that a period meets, up to the unit of end."""
+    return F.sequence(F.date_trunc(unit, start), F.greatest(F.date_trunc(unit, start), F.date_trunc(unit, end)), F.expr(f"INTERVAL 1 {unit}"))
+
+
+def overlaps(df: DataFrame, t: TemporalSpec, key: str, ident: str, unit: str = "month") -> DataFrame:
     """Pairs of versions of one key whose periods overlap, the earlier first.
 
-    Versions are read in the order of their starts; one that starts before the greatest end so far overlaps some earlier
-    one. Only keys with such a version are joined with themselves.
+    The later one of a pair starts while the earlier one is valid: so each version meets those that start in the calendar
+    units of its period, and a key of any size is many groups. No unit after a key's last start is looked at.
     """
     start, end = F.col(t.valid_from), _end(t)
-    far = F.lit("9999-12-31").cast("timestamp_ntz")
-    w = Window.partitionBy(key).orderBy(t.valid_from, ident)
-    ends = df.withColumn("__before", F.max(F.coalesce(end, far)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    bad = ends.where(start < F.col("__before")).select(key).distinct()
-    some = df.join(bad, key, "left_semi")
-    a = some.select(F.col(key), F.col(ident).alias("first_id"), start.alias("s1"), end.alias("e1"))
-    b = some.select(F.col(key), F.col(ident).alias("second_id"), start.alias("s2"), end.alias("e2"))
+    rows = df.select(F.col(key), F.col(ident).alias("id"), start.alias("s"), (F.lit(None).cast("timestamp_ntz") if end is None else end).alias("e"))
+    last = rows.groupBy(key).agg(F.max("s").alias("last"))
+    a = rows.join(last, key).where("e is null or e > s").withColumn("unit", F.explode(_units(F.col("s"), F.least(F.coalesce("e", "last"), F.col("last")), unit)))
+    a = a.select(key, "unit", F.col("id").alias("first_id"), F.col("s").alias("s1"), F.col("e").alias("e1"))
+    b = rows.select(key, F.date_trunc(unit, "s").alias("unit"), F.col("id").alias("second_id"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     order = (F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("first_id") < F.col("second_id")))
-    return a.join(b, key).where(order & period_overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).select(key, "first_id", "second_id")
+    return a.join(b, [key, "unit"]).where(order & period_overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).select(key, "first_id", "second_id")
 
 
-def containment_violations(child: DataFrame, ct: TemporalSpec, child_key: str, parent: DataFrame, pt: TemporalSpec, parent_key: str, rule: Containment) -> DataFrame:
-    """Child versions for which no parent version holds the rule."""
+def containment_violations(child: DataFrame, ct: TemporalSpec, child_key: str, parent: DataFrame, pt: TemporalSpec, parent_key: str, rule: Containment, unit: str = "year") -> DataFrame:
+    """Child versions for which no parent version holds the rule.
+
+    EXACT compares by key and start. WITHIN looks for parents in the calendar unit of the child's start only; a parent is
+    in all units of its period up to the last start of its key's children.
+    """
     if rule is Containment.NONE:
         return child.limit(0)
-    c, p = child.alias("c"), parent.alias("p")
-    cs, ps = F.col(f"c.{ct.valid_from}"), F.col(f"p.{pt.valid_from}")
-    ce, pe = (F.col(f"{a}.{t.valid_to}") if t.valid_to else F.lit(None).cast("timestamp_ntz") for a, t in (("c", ct), ("p", pt)))
-    holds = cs.eqNullSafe(ps) & ce.eqNullSafe(pe) if rule is Containment.EXACT else (ps <= cs) & (pe.isNull() | (ce.isNotNull() & (ce <= pe)))
-    return c.join(p, (F.col(f"c.{child_key}") == F.col(f"p.{parent_key}")) & holds, "left_anti")
+    none = F.lit(None).cast("timestamp_ntz")
+    ce, pe = (F.col(t.valid_to) if t.valid_to else none for t in (ct, pt))
+    k, s, e, u = unused(child.columns, "__parent_key", "__parent_start", "__parent_end", "__unit")
+    p = parent.select(F.col(parent_key).alias(k), F.col(pt.valid_from).alias(s), pe.alias(e))
+    if rule is Containment.EXACT:
+        return child.join(p, (F.col(child_key) == F.col(k)) & F.col(ct.valid_from).eqNullSafe(F.col(s)) & ce.eqNullSafe(F.col(e)), "left_anti")
+    last = child.groupBy(F.col(child_key).alias(k)).agg(F.max(ct.valid_from).alias("last"))
+    p = p.join(last, k).where(F.col(s) <= F.col("last"))
+    p = p.withColumn(u, F.explode(_units(F.col(s), F.least(F.coalesce(F.col(e), F.col("last")), F.col("last")), unit))).drop("last")
+    holds = (F.col(s) <= F.col(ct.valid_from)) & (F.col(e).isNull() | (ce.isNotNull() & (ce <= F.col(e))))
+    return child.join(p, (F.col(child_key) == F.col(k)) & (F.date_trunc(unit, F.col(ct.valid_from)) == F.col(u)) & holds, "left_anti")
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, before: str, after: str, values: list[str], unit: str = "hour") -> DataFrame:
+    """Pairs of a left and a right row of a key with left_ts - before <= right_ts <= left_ts + after.
+
+    before and after are interval texts such as "10 MINUTES". A left row is in the calendar units of its interval, a right
+    row in its own; so the join is one of equal keys and units.
+    """
+    low, high = F.col(left_ts) - F.expr(f"INTERVAL {before}"), F.col(left_ts) + F.expr(f"INTERVAL {after}")
+    u, lo, hi = unused([*left.columns, *right.columns], "__unit", "__low", "__high")
+    a = left.withColumns({lo: low, hi: high}).withColumn(u, F.explode(_units(F.col(lo), F.col(hi), unit)))
+    b = right.select(key, F.col(right_ts).alias(f"matched_{right_ts}"), *[F.col(v).alias(f"matched_{v}") for v in values]).withColumn(u, F.date_trunc(unit, F.col(f"matched_{right_ts}")))
+    return a.join(b, [key, u]).where((F.col(f"matched_{right_ts}") >= F.col(lo)) & (F.col(f"matched_{right_ts}") <= F.col(hi))).drop(u, lo, hi)
+
+
+def with_period(df: DataFrame, t: TemporalSpec, name: str = "validity") -> DataFrame:
+    """df with its validity as one struct: start, end (null while open), whether it is open, and its length in whole days."""
+    start, end = F.col(t.valid_from), _end(t)
+    end = F.lit(None).cast("timestamp_ntz") if end is None else end
+    return df.withColumn(name, F.struct(start.alias("start"), end.alias("end"), end.isNull().alias("open"), F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 86_400_000_000).cast("long").alias("days")))
 
 
 def temporal_join(left: DataFrame, lt: TemporalSpec, right: DataFrame, rt: TemporalSpec | None, on, moment, how: str = "inner") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..catalog import ShardSpec
 from ..errors import ReadOnlyShard, RoutingError
-from ..functions.columns import bucket_start, first_letter, hash_bucket, hash_of
+from ..functions.columns import as_key, bucket_start, first_letter, hash_bucket, hash_of, key_text, text_hash
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,27 @@ class Known:
 
 
 class Strategy:
+    """A strategy says which shard a key is in, as a column; a literal goes through the same expression, which is folded
+    when the query is planned, so that reads and writes agree on every type. What a literal of another type equals is not
+    known: then nothing is pruned."""
+
     columns: tuple[str, ...] = ()
     shard_column = "shard"
 
-    def shard(self, schema: T.StructType) -> Column:
+    def of(self, key: Column, kind: T.DataType) -> Column:
         raise NotImplementedError
 
+    def shard(self, schema: T.StructType) -> Column:
+        return self.of(F.col(self.columns[0]), schema[self.columns[0]].dataType)
+
+    def shard_of(self, value, schema: T.StructType) -> Column | None:
+        kind = schema[self.columns[0]].dataType
+        key = None if value is None else as_key(value, kind)
+        return None if key is None else self.of(key, kind)
+
     def prune(self, known: Known, schema: T.StructType) -> Column | None:
-        return None
+        mine = self.shard_of(known.equal.get(self.columns[0]), schema)
+        return None if mine is None else F.col(self.shard_column) == mine
 
 
 @dataclass(frozen=True)
@@ -61,23 +74,13 @@ class ByValue(Strategy):
     def columns(self):
         return (self.key,)
 
-    def _of(self, value) -> str | None:
-        v = None if value is None else str(value).upper()
-        return v if self.values is None or v in {x.upper() for x in self.values} else self.others
-
-    def shard(self, schema):
-        v = F.upper(F.col(self.key).cast("string"))
+    def of(self, key, kind):
+        v = F.upper(key_text(key, kind))
         if self.values is None:
             return v
         known = v.isin([x.upper() for x in self.values])
         return F.when(known, v).when(v.isNotNull(), F.lit(self.others))
 
-    def prune(self, known, schema):
-        if known.equal.get(self.key) is None:
-            return None
-        s = self._of(known.equal[self.key])
-        return F.lit(False) if s is None else F.col(self.shard_column) == s
-
 
 @dataclass(frozen=True)
 class ByDate(Strategy):
@@ -92,22 +95,24 @@ class ByDate(Strategy):
     def columns(self):
         return (self.key,)
 
-    def shard(self, schema):
-        return F.date_format(bucket_start(self.interval, F.col(self.key)), "yyyy-MM-dd")
+    def of(self, key, kind):
+        return F.date_format(bucket_start(self.interval, key), "yyyy-MM-dd")
 
-    def _day(self, moment) -> Column:
-        return F.date_format(bucket_start(self.interval, F.lit(moment).cast("timestamp_ntz")), "yyyy-MM-dd")
+    def _day(self, moment, before: bool = False) -> Column:
+        """The shard of a moment, or of the microsecond before it."""
+        at = F.lit(moment).cast("timestamp_ntz")
+        return self.of(at - F.expr("INTERVAL 1 MICROSECOND") if before else at, None)
 
     def prune(self, known, schema):
         s, out = F.col(self.shard_column), None
         both = lambda a, b: b if a is None else a & b
-        if known.equal.get(self.key) is not None:
-            out = both(out, s == self._day(known.equal[self.key]))
+        if (mine := super().prune(known, schema)) is not None:
+            out = both(out, mine)
         if r := known.ranges.get(self.key):
             if r.low is not None:
                 out = both(out, s >= self._day(r.low))
             if r.high is not None:
-                out = both(out, s <= self._day(r.high))
+                out = both(out, s <= self._day(r.high, not r.closed))
         if self.key == self.valid_from:
             latest = known.as_of if known.as_of is not None else known.between and known.between[1]
             if latest is not None:
@@ -125,12 +130,8 @@ class ByHash(Strategy):
     def columns(self):
         return (self.key,)
 
-    def shard(self, schema):
-        return hash_bucket(F.col(self.key), self.n, schema[self.key].dataType)
-
-    def prune(self, known, schema):
-        v = known.equal.get(self.key)
-        return None if v is None else F.col(self.shard_column) == hash_of(v, self.n)
+    def of(self, key, kind):
+        return hash_bucket(key, self.n, kind)
 
 
 @dataclass(frozen=True)
@@ -145,23 +146,19 @@ class ByRange(Strategy):
     def columns(self):
         return (self.key,)
 
-    def shard(self, schema):
+    def of(self, key, kind):
         out = F.lit(0)
         for b in self.bounds:
-            out = out + (F.col(self.key) >= b).cast("int")
+            out = out + (key >= b).cast("int")
         return out
 
-    def _of(self, v) -> int:
-        return sum(v >= b for b in self.bounds)
-
     def prune(self, known, schema):
-        s = F.col(self.shard_column)
-        if known.equal.get(self.key) is not None:
-            return s == self._of(known.equal[self.key])
-        r = known.ranges.get(self.key)
-        if r is None:
-            return None
-        return s.between(0 if r.low is None else self._of(r.low), len(self.bounds) if r.high is None else self._of(r.high))
+        s, out = F.col(self.shard_column), super().prune(known, schema)
+        if r := known.ranges.get(self.key):
+            for end, inside in ((r.low, lambda x: s >= x), (r.high, lambda x: s <= x)):
+                if (at := self.shard_of(end, schema)) is not None:
+                    out = inside(at) if out is None else out & inside(at)
+        return out
 
 
 @dataclass(frozen=True)
@@ -177,20 +174,13 @@ class ByAlphabet(Strategy):
     def columns(self):
         return (self.key,)
 
-    def shard(self, schema):
-        letter, out = first_letter(F.col(self.key)), None
+    def of(self, key, kind):
+        letter, out = first_letter(key), None
         for g in self.groups:
             hit = letter.between(g[0], g[-1])
             out = F.when(hit, g) if out is None else out.when(hit, g)
         return out.otherwise(self.others)
 
-    def prune(self, known, schema):
-        v = known.equal.get(self.key)
-        if v is None:
-            return None
-        at = str(v)[:1].upper()
-        return F.col(self.shard_column) == next((g for g in self.groups if g[0] <= at <= g[-1]), self.others)
-
 
 @dataclass(frozen=True)
 class ByRows(Strategy):
@@ -204,12 +194,8 @@ class ByRows(Strategy):
     def columns(self):
         return (self.key,)
 
-    def shard(self, schema):
-        return F.floor(F.col(self.key) / self.rows).cast("int")
-
-    def prune(self, known, schema):
-        v = known.equal.get(self.key)
-        return None if v is None else F.col(self.shard_column) == int(v) // self.rows
+    def of(self, key, kind):
+        return F.floor(key / self.rows).cast("int")
 
 
 @dataclass(frozen=True)
@@ -228,20 +214,13 @@ class Ring(Strategy):
     def ring(self) -> list[tuple[int, str]]:
         return sorted((hash_of(f"{n}#{i}", 1 << 32), n) for n in self.nodes for i in range(self.points))
 
-    def shard(self, schema):
-        h = F.conv(F.substring(F.md5(F.col(self.key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    def of(self, key, kind):
+        h = text_hash(key, kind)
         ring, out = self.ring(), None
         for at, node in ring:
             out = F.when(h <= at, node) if out is None else out.when(h <= at, node)
         return F.when(h.isNotNull(), out.otherwise(ring[0][1]))
 
-    def prune(self, known, schema):
-        v = known.equal.get(self.key)
-        if v is None:
-            return None
-        h = hash_of(str(v), 1 << 32)
-        return F.col(self.shard_column) == next((n for at, n in self.ring() if h <= at), self.ring()[0][1])
-
 
 @dataclass(frozen=True)
 class Composite(Strategy):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..functions.columns import bucket_start, first_letter, hash_bucket, rank_of
 from ..operators import relational as R
 from ..operators import temporal as T
 from ..operators import versioning as V
-from ..sources.workspace import load, order_versions, sharded
+from ..sources.workspace import load, order_versions, published, sharded
 from .strategies import ByAlphabet, ByDate, ByHash, ByRange, ByRows, ByValue, Composite, Ring
 
 _QUERIES: dict = {}
@@ -242,10 +244,10 @@ def shard_range_prune(spark, d):
     return sharded(spark, d, "orders_range", o, ByRange("o_totalprice", (50_000.0, 100_000.0, 200_000.0))).where_range("o_totalprice", 100_000.0, 150_000.0).df()
 
 
-@query("SELECT upper(substr(n_name, 1, 1)) AS letter, n_name FROM nation WHERE n_name BETWEEN 'A' AND 'F~'")
+@query("SELECT upper(substr(p_name, 1, 1)) AS letter, count(*) AS n FROM part WHERE upper(substr(p_name, 1, 1)) BETWEEN 'A' AND 'M' GROUP BY 1")
 def shard_alphabet(spark, d):
-    t = sharded(spark, d, "nation_alphabet", load(spark, d, "nation"), ByAlphabet("n_name"))
-    return t.shard_hint("A-F").df().select(first_letter(F.col("n_name")).alias("letter"), "n_name")
+    t = sharded(spark, d, "part_alphabet", load(spark, d, "part").select("p_partkey", "p_name"), ByAlphabet("p_name"))
+    return t.shard_hint("A-F").df().unionByName(t.shard_hint("G-L").df()).unionByName(t.shard_hint("M-R").where("p_name < 'n' and p_name >= 'M'").df()).where(first_letter(F.col("p_name")).between("A", "M")).groupBy(first_letter(F.col("p_name")).alias("letter")).agg(rows().alias("n"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey // 500 = 1")
@@ -253,11 +255,11 @@ def shard_maxrows(spark, d):
     return sharded(spark, d, "customer_rows", load(spark, d, "customer").select("c_custkey", "c_name"), ByRows("c_custkey", 500)).shard_hint("1").df()
 
 
-@query(f"WITH {CUSTOMERS} SELECT c_custkey, c_mktsegment, region FROM cr WHERE region = 'ASIA' AND c_custkey = 33")
+@query(f"WITH {CUSTOMERS} SELECT c_custkey, c_mktsegment, region FROM cr WHERE region = 'ASIA' AND c_custkey % 4 = 1")
 def shard_composite(spark, d):
     s = Composite((ByValue("region", shard_column="s_region"), ByHash("c_custkey", 4, shard_column="s_hash")))
     c = regional(spark, d).select("c_custkey", "c_mktsegment", "region")
-    return sharded(spark, d, "customer_composite", c, s).where_eq(region="ASIA", c_custkey=33).df()
+    return sharded(spark, d, "customer_composite", c, s).shard_hint("ASIA/1").df()
 
 
 @query("SELECT o_orderkey, o_orderstatus, 'open' AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_orderstatus, 'done' FROM orders WHERE o_orderstatus = 'F'")
@@ -278,14 +280,18 @@ def shard_hint(spark, d):
     return events_by_hash(spark, d).shard_hint("3").df().groupBy("user_id").agg(rows().alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('s2024', 'hot', 1), ('s2023', 'warm', 2), ('s2022', 'archive', 3)) t(shard_id, tier, priority) WHERE tier <> 'archive'")
+@query("SELECT CASE WHEN year(o_orderdate) >= 1999 THEN 'hot' ELSE 'warm' END AS tier, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY 1")
 def shard_tier_filter(spark, d):
+    """Orders of the years whose shards are hot or warm, by tier."""
     from ..catalog import Catalog, DateRange, Tier
 
-    c = Catalog()
-    for k, (y, tier) in enumerate(((2024, Tier.HOT), (2023, Tier.WARM), (2022, Tier.ARCHIVE)), 1):
-        c.add_shard(f"s{y}", tier=tier, priority=k, date_range=DateRange(datetime(y, 1, 1), datetime(y + 1, 1, 1)))
-    return c.frame(spark).where("tier <> 'archive'").select("shard_id", "tier", "priority")
+    c, tiers = Catalog(), {y: Tier.HOT if y >= 1999 else Tier.WARM if y >= 1997 else Tier.ARCHIVE for y in range(1995, 2002)}
+    for k, (y, tier) in enumerate(tiers.items(), 1):
+        c.add_shard(f"{y}-01-01", tier=tier, priority=k, date_range=DateRange(datetime(y, 1, 1), datetime(y + 1, 1, 1)))
+    o = load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    t = sharded(spark, d, "orders_year", o, ByDate("o_orderdate", "year"))
+    parts = [t.shard_hint(s.id).df().withColumn("tier", F.lit(name)) for name, kind in (("hot", Tier.HOT), ("warm", Tier.WARM)) for s in c.by_tier(kind)]
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("tier").agg(rows().alias("n"))
 
 
 @query("WITH b AS (SELECT user_id % 8 AS bucket, count(*) AS n FROM events GROUP BY 1) SELECT bucket::INTEGER AS bucket, n, round((SELECT stddev_pop(n) FROM b), 6) AS deviation FROM b")
@@ -299,9 +305,11 @@ def shard_hash_text(spark, d):
     return load(spark, d, "customer").groupBy(hash_bucket(F.col("c_name"), 6).alias("bucket")).agg(rows().alias("n"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT 'n' || n AS node, ('0x' || substr(md5('n' || n || '#' || i), 1, 8))::BIGINT AS point FROM range(1, 4) a(n), range(16) b(i)),
+c AS (SELECT c_custkey, ('0x' || substr(md5(c_name), 1, 8))::BIGINT AS h FROM customer)
+SELECT coalesce((SELECT arg_min(node, point) FROM p WHERE point >= h), (SELECT arg_min(node, point) FROM p)) AS node, count(*) AS n FROM c GROUP BY 1""")
 def shard_ring(spark, d):
-    """Customers by node of a consistent-hash ring; tests hold it against the ring in Python."""
+    """Customers by node of a consistent-hash ring."""
     c = load(spark, d, "customer")
     return c.groupBy(Ring("c_name", ("n1", "n2", "n3")).shard(c.schema).alias("node")).agg(rows().alias("n"))
 
@@ -409,9 +417,10 @@ def join_agg(spark, d):
     return load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(rows().alias("n"), money("o_totalprice").alias("total"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, d):
-    return load(spark, d, "customer").join(load(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order."""
+    return load(spark, d, "customer").join(load(spark, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -531,9 +540,14 @@ def pricing_summary(spark, d):
 # ---- bulk writes
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
+@query("SELECT user_id % 8 AS shard, count(*) AS n, count(DISTINCT user_id) AS users, (SELECT count(*) FROM events) AS inserted FROM events GROUP BY 1")
 def bulk_insert(spark, d):
-    return events_by_hash(spark, d).df().agg(rows().alias("n"), F.countDistinct("user_id").alias("users"))
+    """Events inserted into hash shards in one version, and what the insert says that it wrote."""
+    from ..sources.layouts import bulk_insert as insert
+
+    t = published(spark, "events_bulk", events(spark, d), ByHash("user_id", 8))
+    n = insert(events(spark, d), t.spec, t.source)
+    return t.df().groupBy(F.pmod("user_id", F.lit(8)).cast("long").alias("shard")).agg(rows().alias("n"), F.countDistinct("user_id").alias("users")).withColumn("inserted", F.lit(n).cast("long"))
 
 
 @query("SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'error' THEN value * 2 ELSE value END AS value, props FROM events")
@@ -552,3 +566,203 @@ def upsert(spark, d):
     c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     tenth = c.where("c_custkey % 10 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return V.upsert(c, tenth.union(c.where("c_custkey < 5").withColumn("c_custkey", F.col("c_custkey") + 1_000_000)), "c_custkey")
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type = 'error' AND user_id < 20 THEN value * 2 ELSE value END AS value, (SELECT count(*) FROM events WHERE event_type = 'error' AND user_id < 20) AS changed FROM events")
+def bulk_update_shards(spark, d):
+    """Only the shards that hold such rows are rewritten, all in one version."""
+    e = events(spark, d).select("event_id", "user_id", "event_type", "value")
+    t = published(spark, "events_update", e, ByHash("user_id", 8))
+    t.source.write(e, t.spec)
+    n = t.source.update(t.spec, (F.col("event_type") == "error") & (F.col("user_id") < 20), {"value": F.col("value") * 2})
+    return t.df().withColumn("changed", F.lit(n).cast("long"))
+
+
+@query("SELECT event_id, user_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'view' AND user_id % 8 IN (1, 2)) AS deleted FROM events WHERE NOT (event_type = 'view' AND user_id % 8 IN (1, 2))")
+def bulk_delete_shards(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "event_type")
+    t = published(spark, "events_delete", e, ByHash("user_id", 8))
+    t.source.write(e, t.spec)
+    n = t.source.delete(t.spec, (F.col("event_type") == "view") & F.pmod("user_id", F.lit(8)).isin(1, 2))
+    return t.df().withColumn("deleted", F.lit(n).cast("long"))
+
+
+@query(f"""WITH {VERSIONS}, {CHANGES}, hit AS (SELECT v.*, effective, ch.amount AS next_amount FROM v JOIN ch ON v.o_custkey = ch.o_custkey WHERE valid_to IS NULL)
+SELECT o_orderkey, v.o_custkey, valid_from, v.amount, o_orderstatus, CASE WHEN valid_to IS NULL AND ch.o_custkey IS NOT NULL THEN effective ELSE valid_to END AS valid_to, (SELECT count(*) FROM hit) AS closed FROM v LEFT JOIN ch ON v.o_custkey = ch.o_custkey
+UNION ALL SELECT -o_orderkey - 1, o_custkey, effective, next_amount, o_orderstatus, NULL, (SELECT count(*) FROM hit) FROM hit""")
+def version_commit(spark, d):
+    """New versions land on the shard of their start; it and the shards of the closed ones change in one version."""
+    v = order_versions(spark, d)
+    t = published(spark, "contract_versions", v, ByDate("valid_from", "year", "valid_from"), VALID)
+    t.source.write(v, t.spec)
+    n = t.source.create_versions(t.spec, "o_custkey", changes(spark, d), "effective", ("o_orderkey", -F.col("o_orderkey") - 1))
+    return t.all_versions().df().withColumn("closed", F.lit(n).cast("long"))
+
+
+@query(f"""WITH {CUSTOMERS}, {ACCOUNTS} SELECT c_custkey, region, valid_from, CASE WHEN region = 'ASIA' THEN TIMESTAMP '2000-01-01' ELSE valid_to END AS valid_to, (SELECT count(*) FROM a WHERE region = 'ASIA') AS moved FROM a
+UNION ALL SELECT c_custkey, 'EUROPE', TIMESTAMP '2000-01-01', NULL, (SELECT count(*) FROM a WHERE region = 'ASIA') FROM a WHERE region = 'ASIA'""")
+def transfer_commit(spark, d):
+    """Accounts closed on one region's shard and opened on another's, published together."""
+    a = V.add(regional(spark, d).select("c_custkey", "region"), VALID, F.lit(datetime(1995, 1, 1)))
+    t = published(spark, "accounts", a, ByValue("region"), VALID)
+    t.source.write(a, t.spec)
+    moves = a.where("region = 'ASIA'").select("c_custkey", F.lit(datetime(2000, 1, 1)).cast("timestamp_ntz").alias("effective"), F.lit("EUROPE").alias("region"))
+    n = t.source.transfer(t.spec, "c_custkey", moves, "effective")
+    return t.all_versions().df().withColumn("moved", F.lit(n).cast("long"))
+
+
+@query("""SELECT o_orderkey, count(l_linenumber) AS n_lines, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') + (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') AS inserted
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey""")
+def cascade_insert(spark, d):
+    """Orders with their lines, parents and children in one version of two tables."""
+    o = load(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    li = load(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+    parents = published(spark, "parents", o, ByHash("o_orderkey", 4))
+    children = published(spark, "children", li, ByHash("l_orderkey", 4), beside=parents)
+    n = parents.source.insert_all([(o, parents.spec), (li, children.spec)])
+    lines = children.df().groupBy("l_orderkey").agg(rows().alias("n_lines"))
+    return parents.df().join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.lit(n).cast("long").alias("inserted"))
+
+
+@query("""SELECT c_custkey, c_name || CASE WHEN c_custkey % 7 = 0 THEN '!' ELSE '' END AS c_name, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS trail FROM customer""")
+def version_audit_trail(spark, d):
+    """Rows replaced in place, with a trail of what they were."""
+    from ..sources.published import audit_trail
+
+    c = load(spark, d, "customer").select("c_custkey", "c_name", F.lit(datetime(1995, 1, 1)).cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    renamed = c.where("c_custkey % 7 = 0").withColumn("c_name", F.concat("c_name", F.lit("!")))
+    after, trail = audit_trail(c, renamed, "c_custkey", VALID, F.lit(datetime(2000, 1, 1)), F.lit("job"))
+    n = trail.groupBy("c_custkey").agg(rows().alias("trail"))
+    return after.join(n, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("trail", F.lit(0)).alias("trail"))
+
+
+@query(f"WITH {VERSIONS} SELECT o_custkey, arg_max(amount, valid_from) AS amount, max(valid_from) AS valid_from FROM (SELECT o_custkey, max(amount) AS amount, valid_from FROM v GROUP BY o_custkey, valid_from) GROUP BY o_custkey")
+def version_append_only(spark, d):
+    """A log that is only ever added to, and its newest state of each key."""
+    from ..sources.published import append_only
+
+    v = order_versions(spark, d).groupBy("o_custkey", "valid_from").agg(F.max("amount").alias("amount"))
+    early = v.where(F.col("valid_from") < POINT)
+    _, newest = append_only(early, v.where(F.col("valid_from") >= POINT), VALID, "o_custkey")
+    return newest.select("o_custkey", "amount", "valid_from")
+
+
+# ---- scopes, conditions, graphs, sets, cubes, intervals
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")
+def tenant_scope(spark, d):
+    """Every read of the session sees one tenant; its shard is the only one that is read."""
+    t = sharded(spark, d, "customer_tenant", load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), ByValue("c_mktsegment"))
+    return replace(t, session=t.session.scoped(c_mktsegment="BUILDING")).where(F.col("c_acctbal") > 1000).df().select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-01' AND o_orderdate < TIMESTAMP '1998-04-01' AND o_totalprice > 1000.5")
+def condition_prune(spark, d):
+    """Shards ruled out by what a condition says, literals on either side."""
+    return orders_by_month(spark, d).where("o_orderdate >= timestamp '1998-03-01' and timestamp '1998-04-01' > o_orderdate and 1000.5 < o_totalprice").df()
+
+
+@query("SELECT c_custkey, c_name, p_segment, p_balance, coalesce(p_segment, 'none') AS shown FROM customer LEFT JOIN (SELECT c_custkey AS p_custkey, c_mktsegment AS p_segment, c_acctbal AS p_balance FROM customer WHERE c_acctbal > 0) ON c_custkey = p_custkey")
+def one_to_one(spark, d):
+    """Each customer with its profile, which there is at most one of."""
+    c = load(spark, d, "customer")
+    profile = c.where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("p_segment"), F.col("c_acctbal").alias("p_balance"))
+    return c.select("c_custkey", "c_name").join(profile, "c_custkey", "left").withColumn("shown", F.coalesce("p_segment", F.lit("none")))
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY l_orderkey)
+SELECT c_custkey, c_mktsegment AS p_segment, n_name, count(o_orderkey) AS n_orders, coalesce(sum(n_lines), 0)::BIGINT AS n_lines, round(coalesce(sum(amount), 0), 2) AS amount
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN l ON o_orderkey = l_orderkey WHERE c_custkey % 3 = 0 GROUP BY 1, 2, 3""")
+def object_graph(spark, d):
+    """A customer with its profile (1:1), nation (N:1), orders (1:N) and their lines (1:N), as one nested row, and sums over it."""
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    o = R.include(load(spark, d, "orders").select("o_orderkey", "o_custkey"), lines, "o_orderkey", "l_orderkey", "lines", ["l_linenumber", "l_extendedprice"])
+    c = load(spark, d, "customer").where("c_custkey % 3 = 0")
+    profile = c.select("c_custkey", F.struct(F.col("c_mktsegment").alias("segment"), "c_acctbal").alias("profile"))
+    c = c.select("c_custkey", "c_nationkey").join(profile, "c_custkey", "left").join(load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
+    g = R.include(c, o, "c_custkey", "o_custkey", "orders", ["o_orderkey", "lines"])
+    lines = F.flatten(F.transform("orders", lambda x: x["lines"]))
+    return g.select("c_custkey", F.col("profile.segment").alias("p_segment"), "n_name", F.size("orders").cast("long").alias("n_orders"), F.size(lines).cast("long").alias("n_lines"), F.round(F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["l_extendedprice"]), 2).alias("amount"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, event_id, event_type, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+n AS (SELECT user_id, session, max(ts) AS last, count(*) AS n FROM s GROUP BY 1, 2),
+a AS (SELECT user_id, count(*) AS n_sessions, count(*) FILTER (last >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS n_active FROM n GROUP BY 1),
+r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT a.user_id, n_sessions, n_active, string_agg(event_type, ',' ORDER BY k) AS recent FROM a JOIN r ON r.user_id = a.user_id WHERE k <= 10 AND n_active > 0 GROUP BY 1, 2, 3""")
+def user_overview(spark, d):
+    """Users with an active session, how many sessions they had, and their last ten activities."""
+    e = events(spark, d)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.lag("ts").over(w)
+    s = e.withColumn("opens", F.when(F.col("ts") <= gap + F.expr("INTERVAL 6 HOURS"), 0).otherwise(1)).withColumn("session", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    now = e.agg(F.max("ts").alias("now"))
+    n = s.groupBy("user_id", "session").agg(F.max("ts").alias("last")).join(F.broadcast(now))
+    a = n.groupBy("user_id").agg(rows().alias("n_sessions"), F.count_if(F.col("last") >= F.col("now") - F.expr("INTERVAL 1 DAY")).alias("n_active")).where("n_active > 0")
+    back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    ten = e.withColumn("k", F.row_number().over(back)).where("k <= 10").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "event_type"))).alias("r"))
+    return a.join(ten, "user_id").select("user_id", "n_sessions", "n_active", F.array_join(F.transform("r", lambda x: x["event_type"]), ",").alias("recent"))
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(spark, d):
+    return load(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).union(load(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
+def set_intersect(spark, d):
+    e = load(spark, d, "events")
+    return e.where("event_type = 'purchase'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
+
+
+@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_except(spark, d):
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).subtract(load(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_totals(spark, d):
+    return load(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(rows().alias("n"), money("o_totalprice").alias("total"), F.grouping_id().cast("long").alias("level"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def grouping_set_counts(spark, d):
+    o = load(spark, d, "orders")
+    return o.groupingSets([[F.col("o_orderstatus")], [F.col("o_orderpriority")], []], "o_orderstatus", "o_orderpriority").agg(rows().alias("n"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 10 AND avg(value) > 0")
+def percentiles_having(spark, d):
+    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"), rows().alias("n"), F.avg("value").alias("mean")).where("n > 10 and mean > 0").drop("mean")
+
+
+@query("""SELECT e.event_id, e.user_id, e.ts, p.ts AS matched_ts, p.event_id AS matched_event_id FROM events e JOIN events p ON e.user_id = p.user_id AND p.ts BETWEEN e.ts - INTERVAL 2 HOUR AND e.ts + INTERVAL 30 MINUTE
+WHERE e.event_type = 'purchase' AND p.event_type = 'click'""")
+def temporal_interval_join(spark, d):
+    e = events(spark, d)
+    return T.interval_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("event_id", "user_id", "ts"), "user_id", "ts", "ts", "2 HOURS", "30 MINUTES", ["event_id"])
+
+
+@query(f"WITH {VERSIONS} SELECT o_orderkey, valid_to IS NULL AS open, date_diff('day', valid_from, valid_to)::BIGINT AS days FROM v")
+def temporal_period(spark, d):
+    return T.with_period(order_versions(spark, d), VALID).select("o_orderkey", "validity.open", "validity.days")
+
+
+@query(f"""WITH {VERSIONS}, q AS (SELECT o_custkey, valid_from, valid_to FROM v WHERE o_orderkey % 2 = 0) SELECT o_orderkey, v.o_custkey FROM v WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.o_custkey = v.o_custkey AND q.valid_from = v.valid_from AND q.valid_to IS NOT DISTINCT FROM v.valid_to)""")
+def temporal_containment_exact(spark, d):
+    v = order_versions(spark, d)
+    return T.containment_violations(v, VALID, "o_custkey", v.where("o_orderkey % 2 = 0"), VALID, "o_custkey", Containment.EXACT).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, pow(o_orderkey % 10, 3)::DOUBLE AS cube, o_orderdate + INTERVAL 3 MONTH AS due, o_orderdate + INTERVAL 90 MINUTE AS later, log2(o_totalprice + 1) > 10 AS large, quarter(o_orderdate)::INTEGER AS q FROM orders")
+def scalar_dates_and_powers(spark, d):
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    return load(spark, d, "orders").select("o_orderkey", F.pow(F.col("o_orderkey") % 10, F.lit(3)).alias("cube"), (at + F.expr("INTERVAL 3 MONTHS")).alias("due"), (at + F.expr("INTERVAL 90 MINUTES")).alias("later"), (F.log2(F.col("o_totalprice") + 1) > 10).alias("large"), F.quarter(at).alias("q"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END <= 1")
+def enum_at_least(spark, d):
+    """A filter by the rank of an ordered enumeration."""
+    return load(spark, d, "orders").where(rank_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM"]) <= 1).select("o_orderkey", "o_orderpriority")

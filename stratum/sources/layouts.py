@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import ShardSpec, TableSpec, Tier
 from ..errors import ReadOnlyShard, RoutingError
+from ..functions.columns import unused
 from ..plans.strategies import Known, resolve, shard_levels
 
 FORMATS = ("parquet", "orc", "json", "csv")
@@ -38,7 +41,10 @@ class Directories:
         levels = spark.createDataFrame([], spec.schema).select(*[c.alias(k) for k, c in shard_levels(spec.strategy, spec.schema).items()]).schema if spec.strategy else T.StructType()
         rows = spark.read.schema(T.StructType([*spec.schema.fields, *levels.fields])).format(self.fmt).load(self.root)
         if hint is not None:
-            return rows.where(F.col(spec.strategy.shard_column).cast("string") == hint)
+            # outermost first: EU, or EU/3 for one shard of two levels
+            for level, part in zip(levels.names, hint.split("/", len(levels.names) - 1), strict=False):
+                rows = rows.where(F.col(level).cast("string") == part)
+            return rows
         keep = spec.strategy.prune(known, spec.schema) if spec.strategy else None
         return rows if keep is None else rows.where(keep)
 
@@ -100,20 +106,61 @@ class Roots:
                 taken = taken | mine
         rules += [(s, column.isNotNull() & ~taken) for s in self.shards if not s.key_value][:1]
         covered = reduce(lambda a, b: a | b, [r for _, r in rules], F.lit(False))
-        if df.where(~F.coalesce(covered, F.lit(False))).limit(1).count():
+        no = F.count_if(~F.coalesce(covered, F.lit(False))).alias("none")
+        closed = [(s, F.count_if(mine).alias(f"n{k}")) for k, (s, mine) in enumerate(rules) if not s.writable]
+        found = df.agg(no, *[n for _, n in closed]).first()
+        if found[0]:
             raise RoutingError(f"a row of {spec.name} has no shard")
-        for s, mine in rules:
-            if not s.writable and df.where(mine).limit(1).count():
+        for (s, _), n in zip(closed, found[1:], strict=True):
+            if n:
                 raise ReadOnlyShard(s.qualified)
-        for s, mine in rules:
-            if s.writable:
-                df.where(mine).select(*spec.schema.names).write.mode(mode).format(self.fmt).save(s.path)
+        # one pass: all rows to one folder, a directory for each shard, whose files then go to the shards' roots
+        open_ = [(s, mine) for s, mine in rules if s.writable]
+        if not open_:
+            return
+        which = F.coalesce(*[F.when(mine, k) for k, (_, mine) in enumerate(open_)])
+        at, = unused(df.columns, "__root")
+        staged = f"{open_[0][0].path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+        spark = df.sparkSession
+        df.select(*spec.schema.names, which.alias(at)).hint("rebalance", at).write.partitionBy(at).format(self.fmt).save(staged)
+        try:
+            for k, (s, _) in enumerate(open_):
+                _move(spark, f"{staged}/{at}={k}", s.path, spec, self.fmt, mode)
+        finally:
+            _delete(spark, staged)
 
     def create(self, spark: SparkSession, spec: TableSpec) -> None:
         for s in self.shards:
             spark.createDataFrame([], spec.schema).write.mode("ignore").format(self.fmt).save(s.path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _move(spark: SparkSession, folder: str, to: str, spec: TableSpec, fmt: str, mode: str) -> None:
+    """Files of a folder into a root; copied by a job where that is on another file system."""
+    (here, source), (there, goal) = _fs(spark, folder), _fs(spark, to)
+    some = here.exists(source)
+    if mode == "overwrite" and there.exists(goal):
+        there.delete(goal, True)
+    there.mkdirs(goal)
+    if not some:
+        return
+    if here.getUri().toString() != there.getUri().toString():
+        spark.read.schema(spec.schema).format(fmt).load(folder).write.mode("append").format(fmt).save(to)
+        return
+    for f in here.listStatus(source):
+        if not there.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{to.rstrip('/')}/{f.getPath().getName()}")):
+            raise OSError(f"{f.getPath()} could not be moved to {to}")
+
+
 @dataclass(frozen=True)
 class Mapped:
     """Existing paths, each with a condition on its rows (SQL text)."""
@@ -141,12 +188,12 @@ class SinkChain:
     def __init__(self, *sinks):
         self.sinks = list(sinks)
 
-    def insert(self, df: DataFrame, spec: TableSpec, layout) -> None:
+    def insert(self, df: DataFrame, spec: TableSpec, layout) -> int | None:
+        """The number of rows, of sinks and layouts that know it."""
         for s in self.sinks:
             if s.can_handle(spec):
-                s.write(df, spec)
-                return
-        layout.write(df, spec)
+                return s.write(df, spec)
+        return layout.write(df, spec)
 
 
 def bulk_insert(df: DataFrame, spec: TableSpec, layout, chain: SinkChain | None = None) -> int:
@@ -154,5 +201,11 @@ def bulk_insert(df: DataFrame, spec: TableSpec, layout, chain: SinkChain | None
     from pyspark.sql import Observation
 
     seen = Observation()
-    (chain or SinkChain()).insert(df.observe(seen, F.count(F.lit(1)).alias("n")), spec, layout)
-    return seen.get["n"]
+    n = (chain or SinkChain()).insert(df.observe(seen, F.count(F.lit(1)).alias("n")), spec, layout)
+    if n is not None:
+        return n
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        # of a table that is known to be empty nothing runs, and nothing is observed
+        return 0

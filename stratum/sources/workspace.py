@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, TableSpec
+from ..errors import StratumError
 from ..plans.strategies import Strategy
 from ..plans.table import Engine, Session, ShardedTable
 from .layouts import Directories
@@ -24,6 +26,8 @@ def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise StratumError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="stratum-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,6 +48,18 @@ def sharded(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, strate
     return engine.table(name)
 
 
+def published(spark: SparkSession, name: str, rows: DataFrame, strategy: Strategy, temporal=None, beside: ShardedTable | None = None) -> ShardedTable:
+    """An empty table behind a manifest of its own, or of another such table's."""
+    from .published import Published
+
+    spec = TableSpec(name, rows.schema, temporal=temporal, strategy=strategy)
+    catalog = Catalog()
+    catalog.add_table(spec)
+    engine = Engine(Session(spark), catalog)
+    engine.mount(name, beside.source if beside else Published(spark, f"{scratch(spark)}/stratum/{name}-{uuid.uuid4().hex}"))
+    return engine.table(name)
+
+
 def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as versions of a customer's contract: valid from the order's date to that of the customer's next order."""
     from ..operators.temporal import versions_of

@@ -1,7 +1,9 @@
 """Catalog, routing and pruning, temporal rules, versioned writes."""
 
 import json
+from datetime import date
 from datetime import datetime as D
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from stratum.functions.columns import hash_bucket, hash_of, period_overlaps
 from stratum.operators import relational as R
 from stratum.operators import temporal as TP
 from stratum.operators import versioning as V
-from stratum.plans.strategies import ByDate, ByHash, ByValue, Known, Range, Ring, resolve, route, route_date
+from stratum.plans.strategies import ByAlphabet, ByDate, ByHash, ByRange, ByRows, ByValue, Known, Range, Ring, resolve, route, route_date
+from stratum.plans.table import stated
 
 VALID = TemporalSpec("valid_from", "valid_to")
 CONTRACT = "id int, contract_number string, customer_name string, amount double, valid_from timestamp_ntz, valid_to timestamp_ntz"
@@ -100,11 +103,50 @@ def test_hashes_agree_with_python(spark):
         assert r["r"] == next((n for at, n in ring if h <= at), ring[0][1])
 
 
-def test_pruning_filters():
-    known = Known({"region": "eu", "id": 12}, {"ts": Range(D(2024, 2, 3), D(2024, 3, 9))}, D(2024, 5, 5))
-    assert "EU" in str(ByValue("region").prune(known, None)) and "4" in str(ByHash("id", 8).prune(known, None))
-    assert ByValue("region", ("US",)).prune(known, None) is not None and ByHash("id", 8).prune(Known({"id": None}, {}), None) is None
-    assert ByDate("ts").prune(Known({}, {}), None) is None
+def test_pruning_filters(spark):
+    schema = T.StructType([T.StructField("region", T.StringType()), T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    known = Known({"region": "eu", "id": 12}, {"ts": Range(D(2024, 2, 3), D(2024, 3, 1), False)}, D(2024, 5, 5))
+    one = spark.range(1).select(F.lit("EU").alias("a"), F.lit(4).alias("b"), F.lit("2024-02-01").alias("c"), F.lit("2024-03-01").alias("d"))
+    hit = lambda s, k=known: one.where(s.prune(k, schema)).count()
+    assert hit(ByValue("region", shard_column="a")) and hit(ByHash("id", 8, shard_column="b")) and hit(ByDate("ts", shard_column="c"))
+    assert not hit(ByDate("ts", shard_column="d"))  # the end is not in the range
+    assert hit(ByValue("region", ("US",), shard_column="a")) == 0 and ByHash("id", 8).prune(Known({"id": None}, {}), schema) is None
+    assert ByDate("ts").prune(Known({}, {}), schema) is None
+
+
+LITERALS = [
+    ("k long", [5, 6, None, -3], 5), ("k long", [5, 6], "5"), ("k int", [5, -1], -1), ("k string", ["5", "05"], 5), ("k string", ["5", "a"], "5"), ("k string", ["x", "X"], "x"), ("k double", [1e20, 2.5], 1e20),
+    ("k double", [5.0, 0.1], 5), ("k double", [-0.0, 0.0, 1.0], 0.0), ("k float", [0.1, 2.0], 0.1), ("k long", [5, 6], 5.0), ("k timestamp_ntz", [D(2024, 1, 1, 0, 0, 0, 500_000), D(2024, 1, 1)], D(2024, 1, 1, 0, 0, 0, 500_000)),
+    ("k timestamp", [D(2024, 1, 1, 0, 0, 0, 500_000), D(2024, 1, 1)], D(2024, 1, 1)), ("k date", [date(2024, 1, 1), date(2024, 1, 2)], date(2024, 1, 1)), ("k date", [date(2024, 1, 1)], D(2024, 1, 1)), ("k boolean", [True, False], True),
+    ("k decimal(10,2)", [Decimal("1.50"), Decimal("2.00")], Decimal("1.5")), ("k decimal(10,2)", [Decimal("2.00")], 2), ("k timestamp_ntz", [D(2024, 1, 1), D(2024, 1, 2)], date(2024, 1, 2)),
+]
+
+
+@pytest.mark.parametrize("schema,values,literal", LITERALS)
+def test_a_pruned_read_finds_what_a_plain_filter_finds(spark, schema, values, literal):
+    df = spark.createDataFrame([(v,) for v in values], schema)
+    kind = df.schema["k"].dataType
+    plain = df.where(F.col("k") == F.lit(literal)).count()
+    strategies = [ByHash("k", 7), ByHash("k", 2), Ring("k", ("x", "y", "z"), 4), ByValue("k")]
+    if isinstance(kind, T.NumericType):
+        strategies += [ByRange("k", (0, 2, 5))] + [ByRows("k", 2)] * isinstance(kind, T.IntegralType)
+    if isinstance(kind, T.TimestampNTZType | T.DateType):
+        strategies += [ByDate("k", "day"), ByDate("k", "month")]
+    if isinstance(kind, T.StringType):
+        strategies.append(ByAlphabet("k"))
+    for s in strategies:
+        rows = df.where("k is not null").withColumn("shard", s.shard(df.schema)).where(F.col("k") == F.lit(literal))
+        keep = s.prune(Known({"k": literal}, {}), df.schema)
+        assert (rows if keep is None else rows.where(keep)).count() == plain, s
+
+
+def test_conditions_say_what_prunes():
+    schema = T.StructType([T.StructField("Id", T.LongType()), T.StructField("region", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
+    assert stated("id = 5 and 'EU' == region AND ts >= timestamp '2024-01-01 10:00:00' and date '2025-01-01' > ts", schema) == [("Id", "=", 5), ("region", "=", "EU"), ("ts", ">=", D(2024, 1, 1, 10)), ("ts", "<", date(2025, 1, 1))]
+    assert stated("region = 'a and id = 4' and `Id` <= 7", schema) == [("region", "=", "a and id = 4"), ("Id", "<=", 7)]
+    for text in ("id = 5 or region = 'x'", "not id = 5", "(id = 5)", "id between 1 and 5", "region like 'a%' and id = 1", "upper(region) = 'X'", "id = id", "5 = 5", "other = 3", "ts = timestamp 'soon'"):
+        assert stated(text, schema) == [], text
+    assert stated("region = 'it''s' and id + 1 = 5 and id is null", schema) == [("region", "=", "it's")]
 
 
 def test_as_of_and_between(spark):
