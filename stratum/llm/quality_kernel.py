@@ -2,9 +2,10 @@
 
 Statistics come from DataFrame expressions (quality_rules.statistics). Standardized, they go through
 sqrt(2 / D) cos(Wx + b) with Gaussian W, whose products approximate a Gaussian kernel. Each partition sums its normal
-equations, one row for each row of the matrix; the sums of all partitions are added by key, so that the driver gets one
-matrix however many labelled rows there are. A score histogram of a fifth of the training rows, left out of the
-equations, is made monotone by pooling adjacent violators.
+equations, one row for each row of the matrix; the sums of all partitions are added by key, in two levels, so that the
+driver gets one matrix however many labelled rows there are. All sums are of whole numbers (features and weights count in
+steps of 2 ** -16 and 2 ** -8), so that they do not depend on the order in which rows come. A score histogram of a fifth
+of the training rows, left out of the equations, is made monotone by pooling adjacent violators.
 
 Defined cases: a null or empty text has all-zero statistics and the score of that point; null labels do not count; several
 labels of one document count each; without training rows of both labels every score is the mean label (0.5 without any).
@@ -25,6 +26,12 @@ from .quality_rules import COUNTS, MORE, statistics
 
 FEATURES, WIDTH, RIDGE, SEED = 192, 0.35, 1e-3, 29
 CALIBRATION_BINS = 512
+#: Steps of a statistic or feature, steps of a weight, and the greatest statistic: products of a batch stay exact.
+UNIT, WEIGHT_UNIT, MOST = 1 << 16, 1 << 8, 1024.0
+#: Groups in which partial sums meet first.
+GROUPS = 64
+#: Sums are held as a high and a low part, split here.
+_LOW = 31
 STATS = [*COUNTS, *MORE]
 
 
@@ -32,7 +39,12 @@ def vectors(columns: dict[str, np.ndarray]) -> np.ndarray:
     """One row for each document: logarithms of lengths, and shares."""
     c = {k: np.asarray(v, float) for k, v in columns.items()}
     words, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
-    return np.column_stack([np.log1p(c["n_words"]), np.log1p(c["n_lines"]), c["word_chars"] / words, np.log1p(1000 * c["n_symbols"] / chars), c["n_dup_lines"] / lines, c["n_repeat_words"] / words, np.log1p(1000 * c["n_upper"] / chars), np.log1p(1000 * c["n_marks"] / chars), c["n_distinct_words"] / words])
+    columns = np.column_stack([np.log1p(c["n_words"]), np.log1p(c["n_lines"]), c["word_chars"] / words, np.log1p(1000 * c["n_symbols"] / chars), c["n_dup_lines"] / lines, c["n_repeat_words"] / words, np.log1p(1000 * c["n_upper"] / chars), np.log1p(1000 * c["n_marks"] / chars), c["n_distinct_words"] / words])
+    return np.minimum(columns, MOST)
+
+
+def steps(x: np.ndarray, unit: int = UNIT) -> np.ndarray:
+    return np.round(x * unit).astype(np.int64)
 
 
 N_IN = 9
@@ -82,24 +94,32 @@ def fit(rows: DataFrame, seed: int = SEED) -> Kernel:
     rng = np.random.default_rng(seed)
     kernel = Kernel(np.zeros(N_IN), np.ones(N_IN), rng.normal(0, WIDTH, (N_IN, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
     # moments first: one row of sums from each partition, added by key
-    moments = _added(rows.where("not calibrate"), lambda x, y: np.vstack([np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)])]), 2 + 2 * N_IN)
+    moments = _added(rows.where("not calibrate"), lambda x, y: np.concatenate([[len(x), int(y.sum())], steps(x).sum(0), (steps(x) ** 2 >> 16).sum(0)])[None], 2 + 2 * N_IN)
     if not len(moments):
         return kernel
     n, ones = moments[0, 0], moments[0, 1]
     if ones in (0, n):
         kernel.values = np.full(2, ones / n)
         return kernel
-    kernel.mean = moments[0, 2 : 2 + N_IN] / n
-    kernel.scale = np.sqrt(np.maximum(moments[0, 2 + N_IN :] / n - kernel.mean**2, 1e-12)) + 1e-3
+    kernel.mean = moments[0, 2 : 2 + N_IN] / UNIT / n
+    kernel.scale = np.sqrt(np.maximum(moments[0, 2 + N_IN :] / UNIT / n - kernel.mean**2, 1e-12)) + 1e-3
 
     def equations(x, y):
-        z = kernel.map(x)
         # both labels weigh alike
-        w = np.where(y == 1, n / (2 * ones), n / (2 * (n - ones)))
-        return np.column_stack([(z * w[:, None]).T @ z, z.T @ (w * y)])
+        high, low = (min(n / (2 * k), 4096) for k in (ones, n - ones))
+        # few enough rows at once that whole numbers stay below 2 ** 53, so that floating-point products and sums are exact
+        total, size = 0, 4096 if max(high, low) <= 128 else 128
+        for at in range(0, len(x), size):
+            z, some = steps(kernel.map(x[at : at + size])).astype(float), y[at : at + size]
+            z[:, 0] = 1
+            w = steps(np.where(some == 1, high, low), WEIGHT_UNIT).astype(float)
+            total = total + np.column_stack([(z * w[:, None]).T @ z, z.T @ (w * some)]).astype(np.int64)
+        return total
 
     m = _added(rows.where("not calibrate"), equations, FEATURES + 2)
-    a, b = m[:, :-1], m[:, -1]
+    # back from steps: those of the two features of a cell, and of the weight
+    unit = np.array([1.0, *[UNIT] * FEATURES])
+    a, b = m[:, :-1] / WEIGHT_UNIT / unit[:, None] / unit[None], m[:, -1] / WEIGHT_UNIT / unit
     ridge = RIDGE * n * np.eye(len(a))
     ridge[0, 0] = 0
     kernel.beta = np.linalg.solve(a + ridge, b)
@@ -107,31 +127,39 @@ def fit(rows: DataFrame, seed: int = SEED) -> Kernel:
 
 
 def _added(rows: DataFrame, sums, width: int) -> np.ndarray:
-    """The sum over all partitions of sums(vectors, labels), a matrix; partials meet by row of the matrix."""
+    """The sum over all partitions of sums(vectors, labels), a matrix of whole numbers; partials meet by row of the matrix."""
     names = STATS
-    schema = "row int, part binary"
+    schema = "row int, spot int, part binary"
 
     def partial(batches):
+        from pyspark import TaskContext
+
         total = None
         for b in batches:
             if b.num_rows:
                 x, y = _read(b, names), b.column(len(names)).to_numpy(zero_copy_only=False).astype(float)
                 s = sums(x, y)
+                s = np.concatenate([s >> _LOW, s & (1 << _LOW) - 1], axis=1)
                 total = s if total is None else total + s
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["row", "part"])
+            yield given(dict(enumerate(total)), TaskContext.get().partitionId() % GROUPS)
+
+    def given(by: dict, spot: int):
+        return pa.RecordBatch.from_arrays([pa.array(by, pa.int32()), pa.array([spot] * len(by), pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], names=["row", "spot", "part"])
 
     def add(batches):
         by: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                by[k] = by.get(k, 0) + np.frombuffer(v)
+            for k, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                by[k] = by.get(k, 0) + np.frombuffer(v, np.int64)
         if by:
-            yield pa.RecordBatch.from_arrays([pa.array(by, pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], names=["row", "part"])
+            yield given(by, 0)
 
     parts = rows.select(*names, F.col("label").cast("double")).mapInArrow(partial, schema)
-    got = sorted((r["row"], bytes(r["part"])) for r in parts.repartition(8, "row").mapInArrow(add, schema).collect())
-    return np.array([np.frombuffer(v) for _, v in got]).reshape(-1, width)
+    met = parts.repartition("row", "spot").mapInArrow(add, schema)
+    got = sorted((r["row"], bytes(r["part"])) for r in met.repartition(8, "row").mapInArrow(add, schema).collect())
+    whole = np.array([np.frombuffer(v, np.int64) for _, v in got]).reshape(-1, 2 * width)
+    return whole[:, :width].astype(float) * (1 << _LOW) + whole[:, width:].astype(float)
 
 
 def _calibrated(kernel: Kernel, rows: DataFrame) -> Kernel:
