@@ -115,8 +115,10 @@ def write_warc(pages: DataFrame, page_id: str, url: str, payload: str, to: str |
     spark = pages.sparkSession
     to = to or new_path(spark, "warc")
     p = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    again = p.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    # short payloads match nothing: their keys are of another length, and spread them
+    long = F.octet_length("payload") >= REVISIT_BYTES
+    p = p.withColumn("digest", F.unhex(F.when(long, F.sha2("payload", 256)).otherwise(F.hex(F.xxhash64("page_id", "url")))))
+    again = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
     marked = p.join(again, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
     fs, folder = filesystem(to)
     fs.create_dir(folder, recursive=True)
