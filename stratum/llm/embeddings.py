@@ -123,24 +123,24 @@ def _linked(rows: DataFrame, cosine: float) -> DataFrame:
     def run(batches):
         for (key, i, j), t in grouped(batches, ["key", "i", "j"]):
             node, weight, side = (t[n].to_numpy() for n in ("node", "weight", "side"))
-            unit = t["unit"].to_pylist()
-            d = len(unit[0])
-            x = np.frombuffer(b"".join(unit), float).reshape(len(node), -1)
-            keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), TABLES, -1)
-            if any(len(u) != d for u in unit):
-                raise ValueError("vectors of different lengths share a bucket")
-            left, right = (np.arange(len(node)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            found = []
-            for at in range(0, len(left), 256):
-                some = left[at : at + 256]
-                p, q = np.nonzero(x[some] @ x[right].T >= cosine)
-                p, q = some[p], right[q]
-                if i == j:
-                    p, q = p[p < q], q[p < q]
-                for k in range(0, len(p), 1 << 16):
-                    a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-                    own = _first_common(keys[a], keys[b], key)
-                    found.append(np.column_stack([a[own], b[own]]))
+            unit, members = t["unit"].to_pylist(), t["keys"].to_pylist()
+            size, found = np.array([len(u) for u in unit]), []
+            # vectors of another length may share a key by chance; they are not compared
+            for d in np.unique(size):
+                mine = np.flatnonzero(size == d)
+                x = np.frombuffer(b"".join(unit[k] for k in mine), float).reshape(len(mine), -1)
+                keys = np.array([members[k] for k in mine], np.int64).reshape(len(mine), TABLES, -1)
+                left, right = (np.arange(len(mine)),) * 2 if i == j else (np.flatnonzero(side[mine] == 0), np.flatnonzero(side[mine] == 1))
+                for at in range(0, len(left), 256):
+                    some = left[at : at + 256]
+                    p, q = np.nonzero(x[some] @ x[right].T >= cosine)
+                    p, q = some[p], right[q]
+                    if i == j:
+                        p, q = p[p < q], q[p < q]
+                    for k in range(0, len(p), 1 << 16):
+                        a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                        own = _first_common(keys[a], keys[b], key)
+                        found.append(np.column_stack([mine[a[own]], mine[b[own]]]))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             if not len(pairs):
                 continue
