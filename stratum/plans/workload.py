@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime
 from functools import reduce
@@ -766,3 +767,43 @@ def scalar_dates_and_powers(spark, d):
 def enum_at_least(spark, d):
     """A filter by the rank of an ordered enumeration."""
     return load(spark, d, "orders").where(rank_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM"]) <= 1).select("o_orderkey", "o_orderpriority")
+
+
+# ---- streams
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_windows(spark, d):
+    """Hourly windows that the watermark has closed, by a stream that runs until it has read all events, into an exactly-once sink."""
+    from ..sources.workspace import scratch
+    from ..streaming.events import append_to, read_stream, windowed
+
+    at, path = f"{scratch(spark)}/stratum/stream-{uuid.uuid4().hex}", f"{d}/[e]vents.parquet"  # a pattern, as the table may be one file
+    e = read_stream(spark, path, load(spark, d, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    append_to(windowed(e, "ts", ["event_type"], "value"), f"{at}/out", f"{at}/state").awaitTermination()
+    out = spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(f"{at}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS inserted FROM events WHERE user_id % 4 = 2 GROUP BY event_type")
+def sink_chain(spark, d):
+    """A bulk write that a sink of the caller's takes, before the table's own layout is asked."""
+    from ..sources.layouts import SinkChain
+    from ..sources.layouts import bulk_insert as insert
+
+    t = published(spark, "events_sink", events(spark, d), ByHash("user_id", 4))
+
+    class Passing:
+        def can_handle(self, spec):
+            return False
+
+    class Taking:
+        def can_handle(self, spec):
+            return spec.name == "events_sink"
+
+        def write(self, df, spec):
+            return t.source.write(df, spec)
+
+    n = insert(events(spark, d), t.spec, None, SinkChain(Passing(), Taking()))
+    return t.shard_hint("2").df().groupBy("event_type").agg(rows().alias("n")).withColumn("inserted", F.lit(n).cast("long"))
