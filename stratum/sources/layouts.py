@@ -29,17 +29,24 @@ def _null_keys(df: DataFrame, spec: TableSpec) -> None:
         raise RoutingError(f"a row of {spec.name} has no shard key")
 
 
+#: What keep_listing keeps: a table's rows with the list of its files, by session, root and schema.
+_listed: dict[tuple, tuple[DataFrame, T.StructType]] = {}
+
+
 @dataclass(frozen=True)
 class Directories:
-    """One root, a directory for each shard value. Dynamic overwrite replaces only the shards that rows go to."""
+    """One root, a directory for each shard value. Dynamic overwrite replaces only the shards that rows go to.
+
+    keep_listing: files are listed once for a session, and again after a write of this session or refresh(); for tables
+    that no one else writes. Otherwise each read lists them, which takes a job where there are many shards.
+    """
 
     root: str
     fmt: str = "parquet"
+    keep_listing: bool = False
 
     def scan(self, spark: SparkSession, spec: TableSpec, known: Known, hint: str | None = None) -> DataFrame:
-        # the schema is known: no footer is read to find it, and shard values keep their types
-        levels = spark.createDataFrame([], spec.schema).select(*[c.alias(k) for k, c in shard_levels(spec.strategy, spec.schema).items()]).schema if spec.strategy else T.StructType()
-        rows = spark.read.schema(T.StructType([*spec.schema.fields, *levels.fields])).format(self.fmt).load(self.root)
+        rows, levels = self._table(spark, spec)
         if hint is not None:
             # outermost first: EU, or EU/3 for one shard of two levels
             for level, part in zip(levels.names, hint.split("/", len(levels.names) - 1), strict=False):
@@ -48,12 +55,29 @@ class Directories:
         keep = spec.strategy.prune(known, spec.schema) if spec.strategy else None
         return rows if keep is None else rows.where(keep)
 
+    def _table(self, spark: SparkSession, spec: TableSpec) -> tuple[DataFrame, T.StructType]:
+        """All rows, and the shard columns."""
+        key = (spark.sparkContext.applicationId, self.root, spec.schema.json())
+        if self.keep_listing and key in _listed:
+            return _listed[key]
+        # the schema is known: no footer is read to find it, and shard values keep their types
+        levels = spark.createDataFrame([], spec.schema).select(*[c.alias(k) for k, c in shard_levels(spec.strategy, spec.schema).items()]).schema if spec.strategy else T.StructType()
+        found = spark.read.schema(T.StructType([*spec.schema.fields, *levels.fields])).format(self.fmt).load(self.root), levels
+        if self.keep_listing:
+            _listed[key] = found
+        return found
+
+    def refresh(self) -> None:
+        for key in [k for k in _listed if k[1] == self.root]:
+            del _listed[key]
+
     def write(self, df: DataFrame, spec: TableSpec, mode: str = "append", check: bool = True) -> None:
         """One shuffle by shard and row, so that a shard of any size is written by many tasks and each task has few files."""
         if check and spec.strategy:
             _null_keys(df, spec)
         levels = shard_levels(spec.strategy, spec.schema)
         df.select(*spec.schema.names).withColumns(levels).hint("rebalance", *levels).write.option("partitionOverwriteMode", "dynamic").partitionBy(*levels).mode(mode).format(self.fmt).save(self.root)
+        self.refresh()
 
     def create(self, spark: SparkSession, spec: TableSpec) -> None:
         """An empty table with its schema."""

@@ -44,7 +44,7 @@ def sharded(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, strate
         Directories(root).write(rows, spec, check=False)
         _made[key] = root
     engine = Engine(Session(spark), catalog)
-    engine.mount(name, Directories(_made[key]))
+    engine.mount(name, Directories(_made[key], keep_listing=True))
     return engine.table(name)
 
 

@@ -52,9 +52,11 @@ def test_directories_prune_and_route(spark, tmp_path):
     assert t.scalar(F.count("*"), sum) == 30 and t.where_eq(region="US").scalar(F.max("id"), max) == 28
     with pytest.raises(RoutingError):
         layout.write(rows.withColumn("region", F.lit(None).cast("string")), spec)
+    kept = mounted(spark, spec, Directories(layout.root, keep_listing=True))
+    assert kept.count() == 30
     # one shard's rows replaced, the others untouched
     layout.write(rows.where("region = 'EU'").limit(2), spec, mode="overwrite")
-    assert t.count() == 22
+    assert t.count() == 22 and kept.count() == 22
 
 
 def test_hash_and_date_pruning_reach_the_scan(spark, tmp_path):
