@@ -16,21 +16,23 @@ columns pass unchanged.
 from __future__ import annotations
 
 import base64
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import Generations, cached
 
 #: Bytes of text that one round of SQL takes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Pieces over so many bytes are contracted one by one.
 LONG_PIECE = 1023
 #: Pieces of a generation that a worker remembers.
-CACHE = 250_000
+CACHE = 120_000
 #: Pieces that one query takes, and their squared bytes: the recursion keeps the rows of every round, half the square of a piece.
 SQL_PIECES, SQL_SQUARES = 32_768, 1 << 23
 #: What one query decodes: bytes of tokens, and TOKEN_BYTES for each token besides.
@@ -108,17 +110,23 @@ class Codec:
         if max(ranks.values()) > 65535:
             raise ValueError("a vocabulary may have 65,536 ids at most")
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        pairs = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else [pa.array([], pa.int32())] * 3
+        # left, right, rank of all pairs, one after another
+        flat = array("i")
+        for t, k in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    flat.extend((ranks[t[:i]], ranks[t[i:]], k))
+        pairs = np.frombuffer(flat, np.int32).reshape(-1, 3)
         self.one = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if self.one.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
         self.reach = max(map(len, ranks))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
-        self._table("merges", {"l": left, "r": right, "rank": rank})
+        self._table("merges", dict(zip(("l", "r", "rank"), map(np.ascontiguousarray, pairs.T), strict=True)))
         # tokens with a merge of smaller rank, and those that have it with themselves
-        twice = {a for a, b, k in pairs if a == b and k < a}
-        late = {x for a, b, k in pairs for x in (a, b) if k < x}
+        left, right, rank = pairs.T
+        twice = {*left[(left == right) & (rank < left)].tolist()}
+        late = {*left[rank < left].tolist(), *right[rank < right].tolist()}
         self._table("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks]), "early": pa.array([k not in late for k in ranks.values()]), "twice": pa.array([k in twice for k in ranks.values()])})
         self.cost = np.zeros(max(ranks.values()) + 1, np.int64)
         self.cost[[*ranks.values()]] = [TOKEN_BYTES + len(t) for t in ranks]
@@ -241,6 +249,10 @@ class Codec:
         return [b"".join(x) for x in out]
 
 
+def _forget() -> None:
+    _codecs.clear()
+
+
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, one for each worker."""
     if (path, pattern) not in _codecs:
@@ -250,12 +262,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _blocks(texts: list[str]):
+def _blocks(sizes: list[int]):
+    """Runs of documents of BLOCK_BYTES together, or of one."""
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK_BYTES):
-            n += len(texts[j])
+        while j < len(sizes) and (j == i or n + sizes[j] <= BLOCK_BYTES):
+            n += sizes[j]
             j += 1
         yield i, j
         i = j
@@ -269,12 +282,12 @@ def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str =
     keep = [c for c in df.columns if c not in (text, ids, decoded)]
 
     def run(batches):
-        with cached("byte_bpe", _codecs.clear):
+        with cached("byte_bpe", _forget):
             c = codec(path, pattern)
             for batch in batches:
-                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-                for i, j in _blocks(texts):
-                    enc = c.encode(texts[i:j])
+                column = batch.column(len(keep))
+                for i, j in _blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                    enc = c.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
                     dec = c.decode_all(enc)
                     yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(len(keep))] + [pa.array(enc, pa.binary()), pa.array(dec, pa.binary())], names=[*keep, ids, decoded])
 

@@ -169,7 +169,7 @@ def bound(df: DataFrame, name: str, value) -> DataFrame:
 
 @contextmanager
 def cached(name: str, clear):
-    """Around a task that uses a worker's cache. Workers outlive a stage: what other operators keep in this one goes at
+    """Around a task that uses a worker's cache. clear is a function of a module: a closure would clear a copy. Workers outlive a stage: what other operators keep in this one goes at
     once, and what this one keeps goes once the worker has had no task for IDLE_S, as the stages that follow may need
     the machine's memory for the JVM."""
     global _turn
@@ -182,6 +182,7 @@ def cached(name: str, clear):
     try:
         yield
     finally:
+        _trim()
         with _lock:
             timer = threading.Timer(IDLE_S, _rest, [_turn])
         timer.daemon = True
@@ -195,11 +196,17 @@ def _rest(turn: int) -> None:
 
 
 def _release(clears: list) -> None:
-    import ctypes
     import gc
 
     for clear in clears:
         clear()
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
+    """Gives free memory back to the system, where the C library can."""
+    import ctypes
+
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

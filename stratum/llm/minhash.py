@@ -59,6 +59,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     # bytes know ASCII letters and ASCII white space only
@@ -115,7 +119,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), node (fingerprint of the set), signature and bands of docs (doc_id, text)."""
 
     def run(batches):
-        with cached("minhash", _words.clear):
+        with cached("minhash", _forget):
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for i in range(0, len(texts), 512):
@@ -219,7 +223,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """node and members (its set's sorted hashes) of docs (doc_id, text)."""
 
     def run(batches):
-        with cached("minhash", _words.clear):
+        with cached("minhash", _forget):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for i in range(0, len(texts), 256):

@@ -132,6 +132,10 @@ class Tokenizer:
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
+def _forget() -> None:
+    _tokenizers.clear()
+
+
 def tokenizer(path: str) -> Tokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer(path)
@@ -205,7 +209,7 @@ def train_dictionary(docs: DataFrame, text: str, path: str, end_id: int) -> byte
     least = some.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min(t).alias("t"))
 
     def run(batches):
-        with cached("token_store", _tokenizers.clear):
+        with cached("token_store", _forget):
             for batch in batches:
                 got = [_slices(ids + struct.pack("<I", end_id)) for _, ids in _encoded(tokenizer(path), batch)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["h", "ids"])
@@ -244,7 +248,7 @@ def write_tokens(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches):
-        with cached("token_store", _tokenizers.clear):
+        with cached("token_store", _forget):
             yield from write(batches)
 
     def write(batches):

@@ -332,6 +332,10 @@ def _nothing() -> Model:
 _scorers: dict = {}
 
 
+def _forget() -> None:
+    _scorers.clear()
+
+
 def _scorer(shared) -> Scorer:
     if shared.id not in _scorers:
         _scorers.clear()
@@ -371,7 +375,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     n = len(keep)
 
     def run(batches):
-        with cached("toxicity", _scorers.clear):
+        with cached("toxicity", _forget):
             s = _scorer(shared)
             for b in batches:
                 p = _scores(s, b.column(n).to_pylist())
@@ -386,7 +390,7 @@ def keep_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     shared, at = _Shared(docs.sparkSession, model), docs.columns.index(text)
 
     def run(batches):
-        with cached("toxicity", _scorers.clear):
+        with cached("toxicity", _forget):
             s = _scorer(shared)
             for b in batches:
                 yield b.filter(pa.array(_scores(s, b.column(at).to_pylist()) < 0.5))

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tokenizers import Tokenizer
 from stratum.llm import common, token_store, warc
 from stratum.llm.byte_bpe import codec, encode_decode
 from stratum.llm.common import filesystem
+from stratum.llm.minhash import sign
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " ", "a", "The idiot's é ñ ß—\n\n  x y 12345 ###$$$", "日本語 текст 🎉", "ab" * 3000, "\x00\x01 �", "don't  stop\t\r\n  ", "aaaaaaaa " * 50]
@@ -188,3 +190,21 @@ def test_worker_caches_go_when_a_worker_rests(monkeypatch):
         assert two and not one
     time.sleep(0.5)
     assert not two
+
+
+def test_a_worker_frees_what_other_operators_keep(spark):
+    """Tasks of one operator after another in the same workers: the second's find the first's cache empty."""
+    docs = spark.createDataFrame([(i, f"some text number {i} hereabouts") for i in range(40)], "doc_id long, text string").coalesce(1)
+    encode_decode(docs, "text", P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count()
+    sign(docs).count()
+
+    def held(batches):
+        from stratum.llm import byte_bpe, minhash
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"codecs": [len(byte_bpe._codecs)], "words": [len(minhash._words)]})
+
+    encode_decode(docs, "text", P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).write.format("noop").mode("overwrite").save()
+    sign(docs).write.format("noop").mode("overwrite").save()
+    r = docs.mapInArrow(held, "codecs long, words long").collect()
+    assert all(x["codecs"] == 0 for x in r)
