@@ -76,7 +76,26 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, kind))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stratum_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        _made[t.sparkSession].remove(t.stratum_path)
+        drop(t.sparkSession, t.stratum_path)
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: list):
+    """Deletes the tables that are made inside, but for the paths in keep, once what is done inside has succeeded."""
+    before = set(_made.get(spark, ()))
+    yield
+    for path in [p for p in _made.get(spark, ()) if p not in before and p not in keep]:
+        _made[spark].remove(path)
+        drop(spark, path)
 
 
 def filesystem(uri: str):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, grouped, hidden, mix64, written
+from .common import cached, discard, grouped, hidden, mix64, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -331,6 +331,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     named = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(ids, "component").select("node", "component_id"), "classes")
+    discard(nodes, buckets, shared, sets, first, label, keys)
     out = signed.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
