@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import table, written
+from stratum.llm.common import drop, table, temporary, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, results = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # a stage's own tables go when its result is written, and so does the result before it
+        with temporary(spark, results):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            results.append(docs.stratum_path)
+        if len(results) > 1:
+            drop(spark, results[-2])
     return docs
