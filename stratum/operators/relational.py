@@ -9,10 +9,26 @@ from ..errors import StratumError
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """A page of a total order; numbers start at 1. Only skip + take rows leave a task."""
+    """A page of a total order; numbers start at 1. Only skip + take rows leave a task; for deep pages see page_after()."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], last: tuple | None, size: int) -> DataFrame:
+    """The page after a row of a total order, by that row's keys: however deep, only size rows leave a task.
+
+    order: columns that hold no null, and whether each ascends; last: the keys of the last row seen, None for the first page.
+    """
+    if last is not None:
+        after, same = F.lit(False), F.lit(True)
+        for (c, up), v in zip(order, last, strict=True):
+            after = after | (same & (F.col(c) > F.lit(v) if up else F.col(c) < F.lit(v)))
+            same = same & (F.col(c) == F.lit(v))
+        # the first key alone bounds the scan
+        (c, up), v = order[0], last[0]
+        df = df.where(F.col(c) >= F.lit(v) if up else F.col(c) <= F.lit(v)).where(after)
+    return df.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).limit(size)
+
+
 def page_with_total(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page whose rows carry the number of all rows and pages, from one aggregate beside the top-k."""
     total = df.agg(F.count("*").alias("total_count")).withColumn("total_pages", F.ceil(F.col("total_count") / size).cast("long"))

@@ -181,7 +181,7 @@ def changes(spark, d):
 @query(f"""WITH {VERSIONS}, {CHANGES} SELECT o_orderkey, v.o_custkey, valid_from, v.amount, o_orderstatus, CASE WHEN valid_to IS NULL AND ch.o_custkey IS NOT NULL THEN effective ELSE valid_to END AS valid_to FROM v LEFT JOIN ch ON v.o_custkey = ch.o_custkey
 UNION ALL SELECT -o_orderkey - 1, v.o_custkey, effective, ch.amount, o_orderstatus, NULL FROM v JOIN ch ON v.o_custkey = ch.o_custkey WHERE valid_to IS NULL""")
 def version_create(spark, d):
-    return V.create_versions(order_versions(spark, d), VALID, "o_custkey", changes(spark, d), "effective", ("o_orderkey", -F.col("o_orderkey") - 1))
+    return V.create_versions(order_versions(spark, d), VALID, "o_custkey", changes(spark, d), "effective", ("o_orderkey", -F.col("o_orderkey") - 1), check="inline")
 
 
 @query(f"""WITH {VERSIONS}, {CHANGES} SELECT o_orderkey, v.o_custkey, valid_from, v.amount, o_orderstatus, CASE WHEN valid_to IS NULL AND ch.o_custkey IS NOT NULL THEN effective - INTERVAL 1 MICROSECOND ELSE valid_to END AS valid_to FROM v LEFT JOIN ch ON v.o_custkey = ch.o_custkey
@@ -375,6 +375,13 @@ def page_with_total(spark, d):
     return R.page_with_total(e, [F.desc("ts"), F.asc("event_id")], 2, 30)
 
 
+@query("SELECT event_id, ts, value FROM events WHERE ts < TIMESTAMP '2024-01-15' OR (ts = TIMESTAMP '2024-01-15' AND event_id > 100) ORDER BY ts DESC, event_id LIMIT 30")
+def keyset_page(spark, d):
+    """The page after the row of a moment and an id."""
+    e = events(spark, d).select("event_id", "ts", "value")
+    return R.page_after(e, [("ts", False), ("event_id", True)], (datetime(2024, 1, 15), 100), 30)
+
+
 @query("SELECT DISTINCT event_type FROM events ORDER BY event_type")
 def distinct_sorted(spark, d):
     return load(spark, d, "events").select("event_type").distinct().orderBy("event_type")

@@ -197,6 +197,14 @@ def test_bulk_transforms(spark):
     assert sorted(r["id"] for r in V.upsert(df, new, "id").collect()) == [1, 2, 3, 4, 9]
 
 
+def test_pages_after_a_row(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(30)], "a int, b int").repartition(3)
+    want, got, last = sorted(((r["a"], r["b"]) for r in df.collect()), key=lambda r: (-r[0], r[1])), [], None
+    while page := [tuple(r) for r in R.page_after(df, [("a", False), ("b", True)], last, 7).collect()]:
+        got, last = [*got, *page], page[-1]
+    assert got == want
+
+
 def test_pages_and_single(spark):
     df = spark.range(25)
     assert [r["id"] for r in R.page(df, [F.desc("id")], 2, 10).collect()] == list(range(14, 4, -1))
