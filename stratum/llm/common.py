@@ -201,7 +201,7 @@ def cached(name: str, clear):
     try:
         yield
     finally:
-        _trim()
+        trim()
         with _lock:
             timer = threading.Timer(IDLE_S, _rest, [_turn])
         timer.daemon = True
@@ -220,12 +220,15 @@ def _release(clears: list) -> None:
     for clear in clears:
         clear()
     gc.collect()
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives free memory back to the system, where the C library can."""
     import ctypes
 
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)

@@ -19,6 +19,7 @@ several labels of one document the greatest does; without training documents of
 
 from __future__ import annotations
 
+import gc
 import zlib
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cached, crc_fold, hidden
+from .common import cached, crc_fold, hidden, trim
 
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 60_000_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -292,7 +293,15 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_fold=None) -> Model:
-    """Trains on labelled documents outside the held-out fold. Only ids of the bounded choice are broadcast."""
+    """Trains on labelled documents outside the held-out fold. Only ids of the bounded choice are broadcast; the texts
+    leave the driver's memory with the training."""
+    model = _fitted(docs, labels, doc_id, text, label, train_fold)
+    gc.collect()
+    trim()
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, train_fold) -> Model:
     lab = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("label is not null and doc_id is not null")
     lab = lab.where(crc_fold(F.col("doc_id"), 5) != 0 if train_fold is None else train_fold).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = []
