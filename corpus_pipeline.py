@@ -6,11 +6,13 @@ in the shared folder and read again. All stages but the last return the columns
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import drop, table, temporary, written
+from stratum.llm.common import drop, give_back, table, temporary, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,18 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
-STAGES = [("quality rules", quality_rules), ("toxicity", toxicity), ("near duplicates", near_duplicates), ("mixing", mixing), ("byte-level BPE", byte_bpe)]
+def _compact(stage):
+    """The stage, after executors have given back the heap that the stage before took: its workers need the room."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _compact(stage)) for name, stage in [("quality rules", quality_rules), ("toxicity", toxicity), ("near duplicates", near_duplicates), ("mixing", mixing), ("byte-level BPE", byte_bpe)]]
 
 #: A learned list and a trained network are not SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None

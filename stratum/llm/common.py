@@ -98,6 +98,16 @@ def temporary(spark: SparkSession, keep: list):
         drop(spark, path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors give heap that they do not use back to the system.
+
+    A JVM keeps what a stage's shuffles took, up to its whole heap, and the Python workers of the stage that follows may not
+    fit beside it. There is a task for each core, so that each executor that is up and free has one.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder that Spark names; local paths may lack a scheme."""
     from pyarrow import fs

@@ -82,6 +82,15 @@ def test_encoding_stage_and_run(spark, stages):
     assert sorted((r["doc_id"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_stages_give_heap_back_first(spark, stages):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    name, stage = corpus_pipeline.STAGES[4]
+    before = full()
+    stage(spark, stages[4], SF)
+    assert name == "byte-level BPE" and full() > before
+
+
 def test_stages_take_odd_tables(spark, stages):
     docs = stages[0]
     odd = docs.limit(5).withColumns({"text": F.lit(None).cast("string"), "kept": F.lit(1), "size": F.lit("x")}).union(docs.limit(5).withColumns({"doc_id": F.lit(None).cast("long"), "kept": F.lit(1), "size": F.lit("x")}))
