@@ -8,6 +8,7 @@ import uuid
 import weakref
 import zlib
 from contextlib import contextmanager
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -160,7 +161,8 @@ class Generations(dict):
         return value
 
     def unknown(self, keys: set) -> set:
-        return keys.difference(self).difference(self.old)
+        # one look-up for each key: difference() would go through all that the cache holds
+        return set(filterfalse(self.old.__contains__, filterfalse(self.__contains__, keys)))
 
     def turn(self) -> None:
         self.old = dict(self)

@@ -30,6 +30,7 @@ import struct
 import uuid
 from array import array
 from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,8 @@ BLOCK = 1 << 20
 FILE_DOCS = 1 << 20
 
 _tokenizers: dict = {}
-_CONTROL = re.compile("[\x1c-\x1f]")
+_PROBES = ("the", "thing", "anther", "zzzz", "qwertyuiop", "internationalization")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 #: All characters with which an ASCII letter can compose lie here.
 _COMBINING = re.compile("[\u0300-\u036f]")
 #: Latin letters, but for the one whose small form is a letter and a mark; others may decompose.
@@ -64,7 +66,8 @@ class Tokenizer:
     The text is cut at white space, and each distinct chunk goes through the library once. That needs a tokenizer which
     drops white space; others get whole texts (checked once, by a probe). Where the probe shows that ASCII letters are
     lower-cased and split from marks that follow, texts are lower-cased and cut before those marks as a whole, so that
-    there are fewer distinct chunks. Texts with a combining mark, which might compose with a small letter only, or with
+    there are fewer distinct chunks. New words of small ASCII letters go to the library's model without the steps before it,
+    where a probe shows that those leave such words alone. Texts with a combining mark, which might compose with a small letter only, or with
     an added token in other letters, keep theirs.
     """
 
@@ -89,13 +92,22 @@ class Tokenizer:
                 self.ends[k] = token.endswith(suffix)
         self.added = [t["content"].encode().lower() for t in spec["added_tokens"]]
         words = ("ab", "Cd", "thing", "QRS", "the", "é", "Ñ", "я")
-        marks = "".join(m for m in ".,!?" if all(ids(w + m + x) == [*ids(w), *ids(m + x)] for w in words for x in ("", "ab", ".", ",", "'s", "9", " ")))
+        marks = "".join(m for m in ".,!?;:$%&#*" if all(ids(w + m + x) == [*ids(w), *ids(m + x)] for w in words for x in ("", "ab", ".", ",", "'s", "9", " ")))
+        # a word of small ASCII letters may go to the library's model alone if nothing before that changes or cuts it: the
+        # probe has all pairs of letters, and an added token within such a word would consist of letters itself
+        self.model = None
+        pairs = "".join(a + b for a in ascii_lowercase for b in ascii_lowercase)
+        normal, cutter = self.lib.normalizer, self.lib.pre_tokenizer
+        if self.splits and not any(a.isalpha() for a in self.added) and cutter and [w for w, _ in cutter.pre_tokenize_str(pairs)] == [pairs] and (not normal or normal.normalize_str(pairs) == pairs):
+            model = self.lib.model
+            if all(ids(w) == [t.id for t in model.tokenize(w)] for w in (pairs, pairs[::-1], *ascii_lowercase, *_PROBES)):
+                self.model = model
         self.lower = all(ids(w) == ids(w.encode().lower().decode()) for w in words)
         self.cut = re.compile(rf"[{re.escape(marks)}](?<=[{_LETTERS}].)") if marks else None
 
     def _plain(self, text: str) -> str:
         """A text of the same ids, with fewer distinct chunks."""
-        if self.lower and not _COMBINING.search(text):
+        if self.lower and (text.isascii() or not _COMBINING.search(text)):
             low = text.encode().lower()
             if not any(a in low for a in self.added):
                 text = low.decode()
@@ -103,7 +115,12 @@ class Tokenizer:
 
     def _learn(self, new: set[str]) -> None:
         known = self.cache
-        words = sorted(w for w in new if w.isalpha()) if self.ends is not None else []
+        if self.model is not None:
+            one = self.model.tokenize
+            for w in [w for w in new if w.isascii() and w.isalpha() and w.islower()]:
+                known[w] = array("I", [t.id for t in one(w)]).tobytes()
+            new = known.unknown(new)
+        words = [w for w in new if w.isalpha()] if self.ends is not None else []
         # many words in one text: each is a word to the tokenizer as well, and its last token says so
         texts = [words[i : i + 128] for i in range(0, len(words), 128)]
         for part, e in zip(texts, self.lib.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
@@ -114,7 +131,7 @@ class Tokenizer:
                 for w, k in zip(part, (4 * cut).tolist(), strict=True):
                     known[w] = raw[at:k]
                     at = k
-        rest = sorted(known.unknown(new))
+        rest = [*known.unknown(new)]
         for x, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[x] = array("I", e.ids).tobytes()
 
@@ -123,7 +140,7 @@ class Tokenizer:
         if not self.splits:
             return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         # split() takes four control characters for white space that a tokenizer does not
-        split = [t.split() if not _CONTROL.search(t) else [c for c in _SPACE.split(t) if c] for t in map(self._plain, texts)]
+        split = [t.split() if not any(c in t for c in _CONTROL) else [c for c in _SPACE.split(t) if c] for t in map(self._plain, texts)]
         known = self.cache
         if len(known) > CACHE:
             known.turn()

@@ -208,3 +208,33 @@ def test_a_worker_frees_what_other_operators_keep(spark):
     sign(docs).write.format("noop").mode("overwrite").save()
     r = docs.mapInArrow(held, "codecs long, words long").collect()
     assert all(x["codecs"] == 0 for x in r)
+
+
+def test_caches_look_up_new_keys_only():
+    """What is asked for bounds the look-ups, not what the cache holds."""
+    seen = []
+
+    class Key(int):
+        def __hash__(self):
+            seen.append(self)
+            return int.__hash__(self)
+
+    cache = common.Generations()
+    cache.update((Key(k), b"") for k in range(1000))
+    cache.turn()
+    cache.update((Key(k), b"") for k in range(1000, 2000))
+    seen.clear()
+    assert cache.unknown({1, 1001, 5000}) == {5000} and len(seen) <= 10
+
+
+def test_token_words_by_the_model_alone(monkeypatch):
+    """Words of small letters skip the library's other steps, words beside signs are cut from them; ids stay the library's."""
+    path = P.path("word_bpe_49k.json")
+    lib, tok = Tokenizer.from_file(path), token_store.Tokenizer(path)
+    texts = ["anenly$$$ anenly&&& onlyer### \"quoted\" it's we'll x#1 $5 a$b a:b;c* 100% <|endoftext|> end<|endoftext|>a;", "Anenly anenlY İx ıy ſtop naïve é$$$ я$$$ é$$ á ab\x1ccd;\x1f$ $́ a$́ K$ ﬁ$", "q" * 3000 + "; " + "zq" * 50]
+    assert tok.encode(texts) == [u32(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    sent = []
+    monkeypatch.setattr(tok, "lib", type("Spy", (), {"encode_batch_fast": lambda _, x, **k: (sent.extend(x), lib.encode_batch_fast(x, **k))[1]})())
+    got = tok.encode(["plainword otherword$$$ plainword&&&"])
+    assert got == [u32(lib.encode("plainword otherword$$$ plainword&&&", add_special_tokens=False).ids)]
+    assert not any("word" in x for x in sent)
