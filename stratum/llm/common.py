@@ -21,6 +21,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Seconds without a task after which a worker lets its caches go.
 IDLE_S = 1.5
 
+#: Keys for a bitmap of a sieve (32,768 bits, so 32 for a key), and bitmaps at most: 8 MB are broadcast.
+SIEVE_KEYS, SIEVE_MAPS = 1024, 2048
+
 _caches: dict = {}
 _lock, _turn = threading.Lock(), 0
 
@@ -99,6 +102,23 @@ def temporary(spark: SparkSession, keep: list):
         drop(spark, path)
 
 
+def sift(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose column may be in keys (one column of a table), and those where it surely is not.
+
+    Bits of the keys' hashes are broadcast, so that an exchange for a join with keys need not hold the second part's rows. The
+    first part has others than keys too, the more of them the more keys there are: a join of it with keys must follow.
+    """
+    (key,) = keys.schema
+    at, number, bits = hidden(df.columns, "at", "number", "bits")
+    maps = max(1, min(SIEVE_MAPS, -(-keys.count() // SIEVE_KEYS)))
+    place = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`").cast(key.dataType)), F.lit(maps << 15))
+    sieve = keys.select(place(key.name).alias(at)).groupBy(F.shiftright(at, 15).alias(number)).agg(F.bitmap_construct_agg(F.col(at).bitwiseAND(F.lit(32767))).alias(bits))
+    tried = df.withColumn(at, place(column)).join(F.broadcast(sieve), F.shiftright(at, 15) == F.col(number), "left")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(F.col(at).bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.col(at).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return tuple(tried.where(x).drop(at, number, bits) for x in (may, ~may))
+
+
 def give_back(spark: SparkSession) -> None:
     """Executors give heap that they do not use back to the system.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, discard, grouped, hidden, mix64, written
+from .common import cached, discard, grouped, hidden, mix64, sift, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -305,17 +305,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = written(sign(docs), "signed")
-    least = signed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "signature", "bands")).alias("r"))
-    nodes = written(least.select("node", *[F.col(f"r.{c}").alias(c) for c in ("doc_id", "n", "signature", "bands")]), "nodes")
+    full = signed.where("n > 0 and doc_id is not null")
+    # signatures and texts are large: exchanges hold those of rows that meet others only
+    copied = written(full.groupBy("node").count().where("count > 1").select("node"), "copied")
+    several, single = sift(full, "node", copied)
+    least = several.groupBy("node").agg(F.min(F.struct("doc_id", "n", "signature", "bands")).alias("r"))
+    least = least.select("node", *[F.col(f"r.{c}").alias(c) for c in ("doc_id", "n", "signature", "bands")])
+    nodes = written(least.union(single.select(least.columns)), "nodes")
+    rows = written(signed.select("doc_id", "n", "node"), "rows")
+    discard(signed, copied)
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "buckets")
-    shared = written(members.join(buckets, "key"), "members")
+    shared = written(sift(members, "key", buckets.select("key"))[0].join(buckets, "key"), "members")
+    some = written(shared.select("node").distinct(), "some")
+    met = written(sift(nodes, "node", some)[0].join(some, "node", "left_semi"), "met")
+    names = written(nodes.select("node", "doc_id"), "names")
+    discard(nodes, some)
     need = least_matches(percent)
 
-    some = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id")
-    sets = written(_sets(docs.join(some, "doc_id", "left_semi")), "sets")
+    some = met.select("doc_id")
+    sets = written(_sets(sift(docs, "doc_id", some)[0].join(some, "doc_id", "left_semi")), "sets")
     stars = shared.where("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.ceil(F.max("size") / F.lit(PARTNERS)).cast("int").alias("parts"))
-    first = written(verify(prune(stars, nodes, need), sets, percent), "links")
+    first = written(verify(prune(stars, met, need), sets, percent), "links")
     label = written(components(first), "labels")
 
     # buckets whose members are of several components; their least nodes have met all others
@@ -324,15 +335,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     tally = tally.groupBy("key").agg(F.max(F.struct("rows", "n", "label")).alias("m"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     keys = written(tally.select("key", F.col("m.label").alias("top"), F.col("m.rows").alias("n_top"), (F.col("rows") - F.col("m.rows")).alias("n_other"), F.col("m.n").alias("size_top"), (F.col("n") - F.col("m.n")).alias("size_other")), "keys")
     dealt = _blocks(rest.select("key", "node", "label"), keys)
-    second = _across(dealt.join(nodes.select("node", "signature", "bands").join(sets, "node"), "node"), need, percent)
+    second = _across(dealt.join(met.select("node", "signature", "bands").join(sets, "node"), "node"), need, percent)
     links = second.union(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
 
     final = components(links)
-    named = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = names.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(ids, "component").select("node", "component_id"), "classes")
-    discard(nodes, buckets, shared, sets, first, label, keys)
-    out = signed.select("doc_id", "n", "node").join(named, "node", "left")
+    discard(buckets, shared, met, names, sets, first, label, keys)
+    out = rows.join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -341,8 +352,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     """docs with one document of each class, and its own columns only."""
     gone_id, = hidden(docs.columns, "gone")
     found = written(classes(docs, doc_id, text, percent).select("doc_id", "n_shingles", "kept"), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
-    out = docs.join(gone, docs[f"`{doc_id}`"] == F.col(gone_id), "left_anti")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    may, stay = sift(docs, doc_id, gone)
+    out = may.join(gone, may[f"`{doc_id}`"] == F.col(gone_id), "left_anti").union(stay)
     # rows that share an id: only then are rows compared with each other
     if found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count():
         some = out.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id])
